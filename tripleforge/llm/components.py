@@ -13,7 +13,7 @@ from .util import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b); root is the least node of its component. Loops and repeats are allowed."""
+    """(node, root) for every node of edges(a, b) but the roots, which are the least nodes of their components. Loops and repeats are allowed."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     sign = None
     while True:

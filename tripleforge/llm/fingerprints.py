@@ -85,9 +85,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     after = stored(next_ids(texts.select("doc_id", F.length("text").alias("n"))))
-    heads = texts.join(after.select(F.col("doc_id").alias("of"), F.col("next_id"), "q"), texts.doc_id == F.col("next_id")).select("of", F.expr("substring(text, 1, q)").alias("head"))
+    named = texts.where("doc_id IS NOT NULL")  # dealt by doc_id once, for both joins
+    heads = named.join(after.select(F.col("doc_id").alias("of"), F.col("next_id"), "q"), named.doc_id == F.col("next_id")).select("of", F.expr("substring(text, 1, q)").alias("head"))
     heads = heads.groupBy("of").agg(F.min("head").alias("head"))
-    both = texts.join(heads, texts.doc_id == heads.of, "left").select("doc_id", "text", F.length("text").alias("n"), "head")
+    both = named.join(heads, named.doc_id == heads.of, "left").select("doc_id", "text", F.length("text").alias("n"), "head")
+    both = both.unionByName(texts.where("doc_id IS NULL").select("doc_id", "text", F.length("text").alias("n"), F.lit(None).cast("string").alias("head")))
     both = both.selectExpr("doc_id", "text", "n", "concat(substring(text, 1, n - n div 4), substring(coalesce(head, ''), 1, n div 4)) AS edited")
     parts = stored(both.selectExpr("doc_id", "CAST(n AS BIGINT) AS n_chars", "sha2(edited, 256) AS edited_sha256", f"{signature('text')} AS a", f"{signature('edited')} AS b"))
     following = parts.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("a").alias("c"))

@@ -70,6 +70,9 @@ class KneserNey:
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
         self.langs, self.order = sorted(samples), order
         L = len(self.langs)
+        self.levels: list = []
+        if not L:
+            return
         counts: list[dict] = []
         for lang in self.langs:
             words = Counter(samples[lang])
@@ -86,7 +89,6 @@ class KneserNey:
                 opens = (keys[n] > 0) & ((keys[n + 1] == 0) if n + 1 < order else True)
                 level[n] = _summed(np.concatenate([cont, keys[n][opens]]), np.concatenate([np.ones(len(cont)), times[owner[opens]]]))
             counts.append(level)
-        self.levels = []
         below = np.full((1, L), 1 / 256.0)
         for n in range(order):
             every = np.unique(np.concatenate([c[n][0] for c in counts]))
@@ -159,6 +161,8 @@ class Judge:
 
     def totals(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """For each text the summed log2 probabilities by language and the number of bytes; None without a letter."""
+        if not self.model.langs:
+            return [None] * len(texts)
         bags = [Counter(cut(t)) if t else Counter() for t in texts]
         new = [w for w in dict.fromkeys(w for b in bags for w in b) if w not in self.cache]
         if len(self.cache) + len(new) > CACHE:
