@@ -83,7 +83,8 @@ def next_ids(ids: DataFrame, rows: int = 200_000) -> DataFrame:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    as_it_is = dict(docs.select("doc_id").dtypes).get("doc_id") == "bigint"  # an alias that changes nothing would keep Spark from sharing the exchange of texts
+    texts = docs.select(F.col("doc_id") if as_it_is else F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     after = stored(next_ids(texts.select("doc_id", F.length("text").alias("n"))))
     named = texts.where("doc_id IS NOT NULL")  # dealt by doc_id once, for both joins
     heads = named.join(after.select(F.col("doc_id").alias("of"), F.col("next_id"), "q"), named.doc_id == F.col("next_id")).select("of", F.expr("substring(text, 1, q)").alias("head"))
