@@ -6,12 +6,13 @@ dropped if an equal line, or a different line at most EDITS edits away, stands e
 Equal lines are one class (by two hashes); only its first line goes on. The edit join cuts a line into EDITS + 1
 segments. Of two lines within EDITS edits, the longer one holds at least one segment of the shorter one, near where it
 stood: so each line is indexed by its segments, with their number and its length, and probes the substrings of every
-length that it could match, at the places that the multi-match-aware rule allows. Matches whose letter parities differ
-in more than 2 * EDITS bits cannot be links and leave within the join; the others are verified by a banded bit-parallel
+length that it could match, at the places that the multi-match-aware rule allows. An edit changes the counts of at most
+two letters by one: matches whose counts of LETTERS, modulo 16, differ by more than 2 * EDITS in all leave within the join; the others are verified by a banded bit-parallel
 edit distance (one 64-bit word for the band, one step a column).
 
-Every link between different lines is found. Hot lines cost one row from the class on; hot segments are pruned by
-parities inside the join, and Spark may split their partitions.
+The join's rows name a line by its first hash alone; both hashes come back with the texts, so lines that share it are told
+apart there. Every link between lines of different first hashes is found. Hot lines cost one row from the class on; hot segments are pruned by
+counts inside the join, and Spark may split their partitions.
 
 Defined results: a null text has one empty line and nothing is dropped; null doc_ids come last; equal rows (id and text)
 drop the same lines; extra columns are ignored by `line_links` and `decisions` and kept by `dedup`; an empty table gives
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .fingerprints import let
 from .util import stored
 
-EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "etaoinsrhldcumpg", 500_000
+EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "eani", 500_000
 _LAST = "9223372036854775807"
 
 
@@ -68,27 +69,32 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     occ = stored(lines.drop("line"))
     classes = stored(occ.groupBy("h", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")))
     c = classes.select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), F.col("first"))
-    one = lines.join(c, (lines.h == c.ch) & (lines.h2 == c.ch2) & (lines.ord == c["first"])).select("h", "h2", "line", F.length("line").alias("len"))
-    parity = " | ".join(f"shiftleft((length(line) - length(replace(line, '{x}', ''))) & 1, {i})" for i, x in enumerate(LETTERS))
-    one = one.selectExpr("h", "h2", "line", "len", f"{parity} AS par")
-    own = [f"xxhash64({i}, len, substring(line, {s}, {n}))" for i, s, n in _segments("len", edits)]
-    index = one.selectExpr("h", "h2", "par", f"explode(array({', '.join(own)})) AS key")
-    tries = []
+    counts = " | ".join(f"shiftleft((octet_length(line) - octet_length(replace(line, '{x}', ''))) & 15, {4 * i})" for i, x in enumerate(LETTERS))
+    keys = [f"xxhash64({i}, len, substring(line, {s}, {n}))" for i, s, n in _segments("len", edits)]
+    tries, shorter = [], 1 << 4 * len(LETTERS)  # this bit beside the counts: the other line is a shorter one
     for less in range(edits + 1):
         for i, s, n in _segments(f"len - {less}", edits):
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
             for move in range(low, high + 1):
                 there = f"({s} + ({move}))"
-                tries.append(f"CASE WHEN {there} >= 1 AND {there} + {n} - 1 <= len THEN named_struct('d', {less}, 'key', xxhash64({i}, len - {less}, substring(line, {there}, {n}))) END")
-    probe = one.selectExpr("h AS g", "h2 AS g2", "par AS qar", f"inline(filter(array({', '.join(tries)}), x -> x IS NOT NULL)) AS (d, pkey)")
-    ahead = "(d > 0 OR h < g OR (h = g AND h2 < g2))"
-    pairs = index.join(probe, F.expr(f"key = pkey AND {ahead} AND bit_count(par ^ qar) <= {2 * edits}"))
-    pairs = stored(pairs.select("h", "h2", "g", "g2").distinct())
-    wanted = stored(pairs.select("h", "h2").union(pairs.select("g", "g2")).distinct())
+                tries.append((less, f"CASE WHEN {there} >= 1 AND {there} + {n} - 1 <= len THEN xxhash64({i}, len - {less}, substring(line, {there}, {n})) END"))
+    same = sum(less == 0 for less, _ in tries)
+    # keys move instead of texts: they are shorter, and index and probe share their exchange
+    keyed = lines.withColumn("len", F.length("line")).selectExpr("h", "h2", "ord", f"{counts} AS cnt", f"array({', '.join(keys + [t for _, t in tries])}) AS keys")
+    one = keyed.join(c, (keyed.h == c.ch) & (keyed.h2 == c.ch2) & (keyed.ord == c["first"])).select("h", "cnt", "keys")
+    index = one.selectExpr("h", "cnt", f"explode(slice(keys, 1, {len(keys)})) AS key")
+    probe = one.selectExpr("h AS g", "cnt", f"posexplode(slice(keys, {len(keys) + 1}, {len(tries)})) AS (k, pkey)").where("pkey IS NOT NULL")
+    probe = probe.selectExpr("g", f"cnt | CASE WHEN k >= {same} THEN {shorter} ELSE 0 END AS mark", "pkey")
+    ahead = f"(mark >= {shorter} OR h < g)"
+    apart = lambda i: f"((shiftright(cnt, {4 * i}) - shiftright(mark, {4 * i})) & 15)"
+    differ = " + ".join(f"least({apart(i)}, 16 - {apart(i)})" for i in range(len(LETTERS)))
+    pairs = index.join(probe, F.expr(f"key = pkey AND {ahead} AND {differ} <= {2 * edits}"))
+    pairs = stored(pairs.select("h", "g").distinct())
+    wanted = stored(pairs.select("h").union(pairs.select("g")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    text = stored(lines.join(wanted, ["h", "h2"], "left_semi").select("h", "h2", "line", "ord").groupBy("h", "h2").agg(F.min("line").alias("line")))
+    text = stored(lines.join(wanted, "h", "left_semi").groupBy("h", "h2").agg(F.min("line").alias("line")))
     other = text.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    checked = pairs.join(text, ["h", "h2"]).join(other, ["g", "g2"])
+    checked = pairs.join(text, "h").join(other, "g").where(f"length(other) - length(line) BETWEEN 0 AND {edits}")
     links = checked.where(F.expr(f"{distance('line', 'other', edits)} <= {edits}")).select("h", "h2", "g", "g2")
     return occ, classes, stored(links)
 
