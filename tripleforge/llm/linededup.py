@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .fingerprints import let
 from .util import stored
 
-EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "eani", 500_000
+EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "eanirst", 500_000
 _LAST = "9223372036854775807"
 
 
