@@ -7,7 +7,7 @@ Equal lines are one class (by two hashes); only its first line goes on. The edit
 segments. Of two lines within EDITS edits, the longer one holds at least one segment of the shorter one, near where it
 stood: so each line is indexed by its segments, with their number and its length, and probes the substrings of every
 length that it could match, at the places that the multi-match-aware rule allows. An edit changes the counts of at most
-two letters by one: matches whose counts of LETTERS, modulo 16, differ by more than 2 * EDITS in all leave within the join; the others are verified by a banded bit-parallel
+two letters by one: matches whose counts of LETTERS, modulo 4, differ by more than 2 * EDITS in all leave within the join; the others are verified by a banded bit-parallel
 edit distance (one 64-bit word for the band, one step a column).
 
 The join's rows name a line by its first hash alone; both hashes come back with the texts, so lines that share it are told
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .fingerprints import let
 from .util import stored
 
-EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "eanirst", 500_000
+EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "etaoinsrhldcum", 500_000
 _LAST = "9223372036854775807"
 
 
@@ -69,9 +69,9 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     occ = stored(lines.drop("line"))
     classes = stored(occ.groupBy("h", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")))
     c = classes.select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), F.col("first"))
-    counts = " | ".join(f"shiftleft((octet_length(line) - octet_length(replace(line, '{x}', ''))) & 15, {4 * i})" for i, x in enumerate(LETTERS))
+    counts = " | ".join(f"shiftleft((octet_length(line) - octet_length(replace(line, '{x}', ''))) & 3, {2 * i})" for i, x in enumerate(LETTERS))
     keys = [f"xxhash64({i}, len, substring(line, {s}, {n}))" for i, s, n in _segments("len", edits)]
-    tries, shorter = [], 1 << 4 * len(LETTERS)  # this bit beside the counts: the other line is a shorter one
+    tries, shorter = [], 1 << 2 * len(LETTERS)  # this bit beside the counts: the other line is a shorter one
     for less in range(edits + 1):
         for i, s, n in _segments(f"len - {less}", edits):
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
@@ -86,8 +86,8 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     probe = one.selectExpr("h AS g", "cnt", f"posexplode(slice(keys, {len(keys) + 1}, {len(tries)})) AS (k, pkey)").where("pkey IS NOT NULL")
     probe = probe.selectExpr("g", f"cnt | CASE WHEN k >= {same} THEN {shorter} ELSE 0 END AS mark", "pkey")
     ahead = f"(mark >= {shorter} OR h < g)"
-    apart = lambda i: f"((shiftright(cnt, {4 * i}) - shiftright(mark, {4 * i})) & 15)"
-    differ = " + ".join(f"least({apart(i)}, 16 - {apart(i)})" for i in range(len(LETTERS)))
+    apart = lambda i: f"((shiftright(cnt, {2 * i}) - shiftright(mark, {2 * i})) & 3)"
+    differ = " + ".join(f"least({apart(i)}, 4 - {apart(i)})" for i in range(len(LETTERS)))
     pairs = index.join(probe, F.expr(f"key = pkey AND {ahead} AND {differ} <= {2 * edits}"))
     pairs = stored(pairs.select("h", "g").distinct())
     wanted = stored(pairs.select("h").union(pairs.select("g")).distinct())
