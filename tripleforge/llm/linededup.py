@@ -7,8 +7,9 @@ Equal lines are one class (by two hashes); only its first line goes on. The edit
 segments. Of two lines within EDITS edits, the longer one holds at least one segment of the shorter one, near where it
 stood: so each line is indexed by its segments, with their number and its length, and probes the substrings of every
 length that it could match, at the places that the multi-match-aware rule allows. An edit changes the counts of at most
-two letters by one: matches whose counts of LETTERS, modulo 4, differ by more than 2 * EDITS in all leave within the join; the others are verified by a banded bit-parallel
-edit distance (one 64-bit word for the band, one step a column).
+two letters by one: matches whose counts of LETTERS, modulo MODULO, differ by more than 2 * EDITS in all leave within the
+join, and those whose counts of LATER do so leave when the texts are there; the others are verified by a banded
+bit-parallel edit distance (one 64-bit word for the band, one step a column).
 
 The join's rows name a line by its first hash alone; both hashes come back with the texts, so lines that share it are told
 apart there. Every link between lines of different first hashes is found. Hot lines cost one row from the class on; hot segments are pruned by
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .fingerprints import let
 from .util import stored
 
-EDITS, MIN_CHARS, LETTERS, BROADCAST_ROWS = 2, 16, "etaoinsrhldcum", 500_000
+EDITS, MIN_CHARS, BROADCAST_ROWS = 2, 16, 500_000
+LETTERS, LATER, BITS = "eationsrld", " umcpgvfbhkwyz", 3
+MODULO = 1 << BITS
 _LAST = "9223372036854775807"
 
 
@@ -65,29 +68,39 @@ def _segments(length: str, edits: int) -> list[tuple[int, str, str]]:
 
 def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """occurrences (oid, pos, h, h2, ord), classes (h, h2, first, n) and links (h, h2, g, g2: two different lines within `edits`), all stored."""
+    if MIN_CHARS <= 2 * edits:
+        raise ValueError("the shortest line leaves no character for some segment")
     lines = lines_of(docs)
     occ = stored(lines.drop("line"))
     classes = stored(occ.groupBy("h", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")))
     c = classes.select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), F.col("first"))
-    counts = " | ".join(f"shiftleft((octet_length(line) - octet_length(replace(line, '{x}', ''))) & 3, {2 * i})" for i, x in enumerate(LETTERS))
-    keys = [f"xxhash64({i}, len, substring(line, {s}, {n}))" for i, s, n in _segments("len", edits)]
-    tries, shorter = [], 1 << 2 * len(LETTERS)  # this bit beside the counts: the other line is a shorter one
+    tries, bounds, shorter = [], [], 1 << BITS * len(LETTERS)  # this bit beside the counts: the other line is a shorter one
     for less in range(edits + 1):
         for i, s, n in _segments(f"len - {less}", edits):
+            bounds += [f"CAST(4 * {s} - 3 AS INT) AS s{less}_{i}", f"CAST(4 * {n} AS INT) AS n{less}_{i}"]
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
-            for move in range(low, high + 1):
-                there = f"({s} + ({move}))"
-                tries.append((less, f"CASE WHEN {there} >= 1 AND {there} + {n} - 1 <= len THEN xxhash64({i}, len - {less}, substring(line, {there}, {n})) END"))
-    same = sum(less == 0 for less, _ in tries)
+            tries += [(less, i, move) for move in range(low, high + 1)]
+    own = {(0, i, 0) for i in range(1, edits + 2)}  # the keys in the index: where a line of equal length has the segment in place
+    tries.sort(key=lambda t: t not in own)  # stable: the index keys come first
+    # Four bytes a character: a segment is cut out without counting characters from the line's start. No segment is empty, so
+    # none moves out of the line. `name` tells number and length. Bounds are columns, to keep the generated method small.
+    key = lambda less, i, move: f"xxhash64(name + ({i - less * (edits + 2)}), substring(wide, s{less}_{i} + ({4 * move}), n{less}_{i}))"
+    # Letters leave one after the other: each is counted in what the ones before it left. A higher-order function also keeps
+    # the counts out of the generated method of the keys, which is interpreted if it grows beyond 8,000 bytes.
+    then = f"(z.c << {BITS}) | ((z.n - octet_length(z.rest)) & {MODULO - 1})"
+    counts = f"aggregate(split('{LETTERS}', ''), named_struct('rest', line, 'n', octet_length(line), 'c', 0L), (z, x) -> named_struct('rest', replace(z.rest, x, ''), 'n', octet_length(z.rest), 'c', {then}), z -> {then})"
+    rows = lines.selectExpr("h", "h2", "ord", f"{counts} AS cnt", "encode(line, 'UTF-32') AS wide")
     # keys move instead of texts: they are shorter, and index and probe share their exchange
-    keyed = lines.withColumn("len", F.length("line")).selectExpr("h", "h2", "ord", f"{counts} AS cnt", f"array({', '.join(keys + [t for _, t in tries])}) AS keys")
+    rows = rows.selectExpr("*", "octet_length(wide) div 4 AS len").selectExpr("*", f"CAST({edits + 2} * len AS INT) AS name", *bounds)
+    keyed = rows.selectExpr("h", "h2", "ord", "cnt", f"array({', '.join(key(*t) for t in tries)}) AS keys")
     one = keyed.join(c, (keyed.h == c.ch) & (keyed.h2 == c.ch2) & (keyed.ord == c["first"])).select("h", "cnt", "keys")
-    index = one.selectExpr("h", "cnt", f"explode(slice(keys, 1, {len(keys)})) AS key")
-    probe = one.selectExpr("h AS g", "cnt", f"posexplode(slice(keys, {len(keys) + 1}, {len(tries)})) AS (k, pkey)").where("pkey IS NOT NULL")
-    probe = probe.selectExpr("g", f"cnt | CASE WHEN k >= {same} THEN {shorter} ELSE 0 END AS mark", "pkey")
+    index = one.selectExpr("h", "cnt", f"explode(slice(keys, 1, {len(own)})) AS key")
+    probe = one.selectExpr("h AS g", "cnt", f"posexplode(slice(keys, 1, {len(tries)})) AS (k, pkey)")
+    longer = ", ".join(str(k) for k, t in enumerate(tries) if t[0])
+    probe = probe.selectExpr("g", f"cnt | CASE WHEN k IN ({longer}) THEN {shorter} ELSE 0 END AS mark", "pkey")
     ahead = f"(mark >= {shorter} OR h < g)"
-    apart = lambda i: f"((shiftright(cnt, {2 * i}) - shiftright(mark, {2 * i})) & 3)"
-    differ = " + ".join(f"least({apart(i)}, 4 - {apart(i)})" for i in range(len(LETTERS)))
+    apart = lambda i: f"((shiftright(cnt, {BITS * i}) - shiftright(mark, {BITS * i})) & {MODULO - 1})"
+    differ = " + ".join(f"least({apart(i)}, {MODULO} - {apart(i)})" for i in range(len(LETTERS)))
     pairs = index.join(probe, F.expr(f"key = pkey AND {ahead} AND {differ} <= {2 * edits}"))
     pairs = stored(pairs.select("h", "g").distinct())
     wanted = stored(pairs.select("h").union(pairs.select("g")).distinct())
@@ -95,6 +108,7 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     text = stored(lines.join(wanted, "h", "left_semi").groupBy("h", "h2").agg(F.min("line").alias("line")))
     other = text.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("other"))
     checked = pairs.join(text, "h").join(other, "g").where(f"length(other) - length(line) BETWEEN 0 AND {edits}")
+    checked = checked.where(F.expr(" + ".join(f"abs(octet_length(line) - octet_length(other) + octet_length(replace(other, '{x}', '')) - octet_length(replace(line, '{x}', '')))" for x in LATER) + f" <= {2 * edits}"))
     links = checked.where(F.expr(f"{distance('line', 'other', edits)} <= {edits}")).select("h", "h2", "g", "g2")
     return occ, classes, stored(links)
 
@@ -112,7 +126,7 @@ def _verdicts(docs: DataFrame, edits: int) -> DataFrame:
 
 def decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_links, dropped for every row of docs(doc_id, text)."""
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"coalesce(CAST(doc_id AS BIGINT), {_LAST}) AS oid", "CAST(coalesce(length(text) - length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"coalesce(CAST(doc_id AS BIGINT), {_LAST}) AS oid", "CAST(coalesce(octet_length(text) - octet_length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
     out = rows.join(_verdicts(docs, edits), "oid", "left")
     return out.selectExpr("doc_id", "n_lines", "CAST(coalesce(size(dropped), 0) AS BIGINT) AS n_dropped", "coalesce(n_links, 0) AS n_links", "coalesce(dropped, CAST(array() AS ARRAY<INT>)) AS dropped")
 
