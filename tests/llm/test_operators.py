@@ -182,6 +182,16 @@ def test_line_links(spark, docs, empty):
     assert linededup.decisions(empty).count() == 0
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    shared = "a line that both documents hold"
+    rows = [(1, "a clean opening that nobody repeats\n" + shared), (1, "quite another text stands up here\n" + shared), (None, "first unnamed document, all its own\n" + shared), (None, "words 12345 found in no other place\n" + shared), (None, "words 12345 found in no other place\n" + shared)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text.split("\n") for r in linededup.dedup(table).collect()]
+    assert sorted(lines[0] for lines in got) == sorted(t.split("\n")[0] for _, t in rows)  # clean lines stay, equal rows alike
+    assert sum(shared in lines for lines in got) == 1
+    assert sorted(tuple(r.dropped) for r in linededup.decisions(table).collect()) == [(), (1,), (1,), (1,), (1,)]
+
+
 def test_line_distance(spark):
     rng = np.random.default_rng(4)
     rows = []

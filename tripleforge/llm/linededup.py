@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, by DataFrame and SQL functions alone.
 
 Lines of at least MIN_CHARS code points are deduplicated over all documents; shorter ones are left alone. A line is
-dropped if an equal line, or a different line at most EDITS edits away, stands earlier (by doc_id, then line number).
+dropped if an equal line, or a different line at most EDITS edits away, stands earlier (by doc_id, then line number; of
+different texts with one doc_id or none, by two hashes of the text before the line number).
 
 Equal lines are one class (by two hashes); only its first line goes on. The edit join cuts a line into EDITS + 1
 segments. Of two lines within EDITS edits, the longer one holds at least one segment of the shorter one, near where it
@@ -16,7 +17,7 @@ apart there. Every link between lines of different first hashes is found. Hot li
 counts inside the join, and Spark may split their partitions.
 
 Defined results: a null text has one empty line and nothing is dropped; null doc_ids come last; equal rows (id and text)
-drop the same lines; extra columns are ignored by `line_links` and `decisions` and kept by `dedup`; an empty table gives
+drop the same lines, and rows of one doc_id (or none) with different texts are documents of their own; extra columns are ignored by `line_links` and `decisions` and kept by `dedup`; an empty table gives
 an empty result. Texts and lines are used whole.
 """
 
@@ -34,10 +35,14 @@ MODULO = 1 << BITS
 _LAST = "9223372036854775807"
 
 
+#: SQL of a document's key: its place in the order and what tells texts of one doc_id (or none) apart.
+_DOC = f"named_struct('none', doc_id IS NULL, 'oid', coalesce(CAST(doc_id AS BIGINT), {_LAST}), 't1', xxhash64(text), 't2', hash(text))"
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """oid, pos, line, h, h2, ord of every line of at least MIN_CHARS code points."""
-    rows = docs.selectExpr(f"coalesce(CAST(doc_id AS BIGINT), {_LAST}) AS oid", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.length("line") >= MIN_CHARS)
-    return rows.selectExpr("oid", "pos", "line", "xxhash64(line) AS h", "hash(line) AS h2", "CAST(oid AS DECIMAL(20, 0)) * CAST(4294967296 AS DECIMAL(11, 0)) + CAST(pos AS DECIMAL(10, 0)) AS ord")
+    """line, h, h2, ord (the document's key and the line number) of every line of at least MIN_CHARS code points."""
+    rows = docs.selectExpr(f"{_DOC} AS doc", "text").selectExpr("doc", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.length("line") >= MIN_CHARS)
+    return rows.selectExpr("line", "xxhash64(line) AS h", "hash(line) AS h2", "named_struct('doc', doc, 'pos', pos) AS ord")
 
 
 def distance(a: str, b: str, edits: int = EDITS) -> str:
@@ -67,7 +72,7 @@ def _segments(length: str, edits: int) -> list[tuple[int, str, str]]:
 
 
 def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """occurrences (oid, pos, h, h2, ord), classes (h, h2, first, n) and links (h, h2, g, g2: two different lines within `edits`), all stored."""
+    """occurrences (h, h2, ord), classes (h, h2, first, n) and links (h, h2, g, g2: two different lines within `edits`), all stored."""
     if MIN_CHARS <= 2 * edits:
         raise ValueError("the shortest line leaves no character for some segment")
     lines = lines_of(docs)
@@ -114,27 +119,27 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
 
 
 def _verdicts(docs: DataFrame, edits: int) -> DataFrame:
-    """oid, dropped (line numbers), n_links for documents with repeated or linked lines."""
+    """doc (the key), dropped (line numbers), n_links for documents with repeated or linked lines."""
     occ, classes, links = line_links(docs, edits)
     ends = links.union(links.select("g", "g2", "h", "h2"))
     a, b = classes.select("h", "h2", "first"), classes.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("first").alias("theirs"))
     near = ends.join(a, ["h", "h2"]).join(b, ["g", "g2"]).groupBy("h", "h2").agg(F.max((F.col("theirs") < F.col("first")).cast("int")).alias("near"), F.count("*").alias("links"))
     status = classes.join(near, ["h", "h2"], "left").where("n > 1 OR links IS NOT NULL").select("h", "h2", "first", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     hit = occ.join(status, ["h", "h2"])
-    return hit.groupBy("oid").agg(F.sort_array(F.collect_set(F.when((F.col("ord") != F.col("first")) | (F.col("near") == 1), F.col("pos")))).alias("dropped"), F.sum("links").alias("n_links"))
+    return hit.groupBy("ord.doc").agg(F.sort_array(F.collect_set(F.when((F.col("ord") != F.col("first")) | (F.col("near") == 1), F.col("ord.pos")))).alias("dropped"), F.sum("links").alias("n_links"))
 
 
 def decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_links, dropped for every row of docs(doc_id, text)."""
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"coalesce(CAST(doc_id AS BIGINT), {_LAST}) AS oid", "CAST(coalesce(octet_length(text) - octet_length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
-    out = rows.join(_verdicts(docs, edits), "oid", "left")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"{_DOC} AS doc", "CAST(coalesce(octet_length(text) - octet_length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
+    out = rows.join(_verdicts(docs, edits), "doc", "left")
     return out.selectExpr("doc_id", "n_lines", "CAST(coalesce(size(dropped), 0) AS BIGINT) AS n_dropped", "coalesce(n_links, 0) AS n_links", "coalesce(dropped, CAST(array() AS ARRAY<INT>)) AS dropped")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with the dropped lines taken out of text; n_chars, if there, is counted again; every row stays."""
-    v = _verdicts(docs, edits).where("size(dropped) > 0").select(F.col("oid").alias("__oid"), F.col("dropped").alias("__dropped"))
-    out = docs.join(v, F.expr(f"coalesce(CAST(doc_id AS BIGINT), {_LAST})") == v["__oid"], "left")
+    v = _verdicts(docs, edits).where("size(dropped) > 0").select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
+    out = docs.join(v, F.expr(_DOC) == v["__doc"], "left")
     cut = F.expr("CASE WHEN __dropped IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(__dropped, i)), '\\n') END")
     out = out.withColumn("text", cut)
     if "n_chars" in docs.columns:
