@@ -192,6 +192,15 @@ def test_line_dedup_tells_texts_of_one_id_apart(spark):
     assert sorted(tuple(r.dropped) for r in linededup.decisions(table).collect()) == [(), (1,), (1,), (1,), (1,)]
 
 
+def test_line_dedup_of_short_lines(spark):
+    table = spark.createDataFrame([(1, "Home\nx\n\n版权所有\nabcde\n \u3000"), (2, "Home\n\n版权所有\nabXde\nx\nabc\n \u3000"), (3, "abd\nHomes\nabcdefg")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in linededup.decisions(table).collect()} == {1: [], 2: [0, 2, 3, 4], 3: [2]}
+    words = sorted({"".join("ab"[int(x)] for x in np.random.default_rng(i).integers(0, 2, 5 + i % 4)) for i in range(60)})
+    one = spark.createDataFrame([(w,) for w in words], "l string")
+    want = one.crossJoin(one.withColumnRenamed("l", "m")).where("l < m AND levenshtein(l, m) <= 2").count()
+    assert linededup.line_links(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"))[2].count() == want
+
+
 def test_line_distance(spark):
     rng = np.random.default_rng(4)
     rows = []

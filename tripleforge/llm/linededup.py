@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, by DataFrame and SQL functions alone.
 
-Lines of at least MIN_CHARS code points are deduplicated over all documents; shorter ones are left alone. A line is
+Lines that are not blank are deduplicated over all documents; blank ones (white space alone) are left alone. A line is
 dropped if an equal line, or a different line at most EDITS edits away, stands earlier (by doc_id, then line number; of
-different texts with one doc_id or none, by two hashes of the text before the line number).
+different texts with one doc_id or none, by two hashes of the text before the line number). Equal lines are found at any length, different ones from 2 * EDITS + 1 code points on, the least
+length that leaves a character for every segment.
 
 Equal lines are one class (by two hashes); only its first line goes on. The edit join cuts a line into EDITS + 1
 segments. Of two lines within EDITS edits, the longer one holds at least one segment of the shorter one, near where it
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .fingerprints import let
 from .util import stored
 
-EDITS, MIN_CHARS, BROADCAST_ROWS = 2, 16, 500_000
+EDITS, BROADCAST_ROWS = 2, 500_000
 LETTERS, LATER, BITS = "eationsrld", " umcpgvfbhkwyz", 3
 MODULO = 1 << BITS
 _LAST = "9223372036854775807"
@@ -40,8 +41,8 @@ _DOC = f"named_struct('none', doc_id IS NULL, 'oid', coalesce(CAST(doc_id AS BIG
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """line, h, h2, ord (the document's key and the line number) of every line of at least MIN_CHARS code points."""
-    rows = docs.selectExpr(f"{_DOC} AS doc", "text").selectExpr("doc", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.length("line") >= MIN_CHARS)
+    """line, h, h2, ord (the document's key and the line number) of every line that is not blank."""
+    rows = docs.selectExpr(f"{_DOC} AS doc", "text").selectExpr("doc", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.col("line").rlike(r"(?U)\S"))
     return rows.selectExpr("line", "xxhash64(line) AS h", "hash(line) AS h2", "named_struct('doc', doc, 'pos', pos) AS ord")
 
 
@@ -73,8 +74,6 @@ def _segments(length: str, edits: int) -> list[tuple[int, str, str]]:
 
 def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """occurrences (h, h2, ord), classes (h, h2, first, n) and links (h, h2, g, g2: two different lines within `edits`), all stored."""
-    if MIN_CHARS <= 2 * edits:
-        raise ValueError("the shortest line leaves no character for some segment")
     lines = lines_of(docs)
     occ = stored(lines.drop("line"))
     classes = stored(occ.groupBy("h", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")))
@@ -94,7 +93,7 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     # the counts out of the generated method of the keys, which is interpreted if it grows beyond 8,000 bytes.
     then = f"(z.c << {BITS}) | ((z.n - octet_length(z.rest)) & {MODULO - 1})"
     counts = f"aggregate(split('{LETTERS}', ''), named_struct('rest', line, 'n', octet_length(line), 'c', 0L), (z, x) -> named_struct('rest', replace(z.rest, x, ''), 'n', octet_length(z.rest), 'c', {then}), z -> {then})"
-    rows = lines.selectExpr("h", "h2", "ord", f"{counts} AS cnt", "encode(line, 'UTF-32') AS wide")
+    rows = lines.where(F.length("line") > 2 * edits).selectExpr("h", "h2", "ord", f"{counts} AS cnt", "encode(line, 'UTF-32') AS wide")
     # keys move instead of texts: they are shorter, and index and probe share their exchange
     rows = rows.selectExpr("*", "octet_length(wide) div 4 AS len").selectExpr("*", f"CAST({edits + 2} * len AS INT) AS name", *bounds)
     keyed = rows.selectExpr("h", "h2", "ord", "cnt", f"array({', '.join(key(*t) for t in tries)}) AS keys")
