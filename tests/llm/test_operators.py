@@ -284,6 +284,19 @@ def test_language_id(spark, docs, empty):
     assert langid.identified(empty).count() == 0 and langid.identified(docs).count() == len(ROWS)
 
 
+def test_language_sample_keeps_every_language(spark):
+    rows = [(i, "ba ko mi ru " * 20, "aa") for i in range(40)] + [(101, "scht ung ein ver " * 3000, "bb"), (103, "", "bb")]
+    rows += [(200 + i, "eau oui mer " * (9000 if i < 3 else 10), "cc") for i in range(60)] + [(None, "été ñandú", "dd"), (None, "été ñandú", "dd"), (None, "çà", "dd")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1600)
+    size = collections.Counter()
+    for r in got:
+        size[r.lang] += len(r.text.encode())
+        assert len(r.text.encode()) <= 102
+    assert set(size) == {"aa", "bb", "cc", "dd"} and max(size.values()) <= 1602 and size["cc"] > 1500 and sum(r.lang == "dd" for r in got) == 2
+    one = langid.fitted([("aa", "ba ko")] * 4 + [("bb", "scht ung"), ("cc", ""), ("cc", "12")] + [("cc", "")] * 2 + [("cc", "eau")])
+    assert one.model.langs == ["aa", "bb", "cc"]
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on the smallest tables, by its contract."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

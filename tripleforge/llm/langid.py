@@ -8,8 +8,10 @@ suffix's values and its context's backoff weights. The language with the lowest
 `score` is the calibrated posterior of that choice: the softmax of the total differences times a slope fitted on
 training documents that the counts did not see. `rejected` marks a choice under the score that fits REJECT.
 
-The models are fitted on a bounded sample: for each language, documents in hash order up to SAMPLE_BYTES of text (the
-documented bound); 0.8 of them for counts, the rest for the slope. Everything else is done for every row, on whole texts.
+The models are fitted on a bounded sample: for each language, different documents in hash order up to SAMPLE_BYTES of
+text (the documented bound), of each its first SAMPLE_BYTES / SHARES at most, so that no long one takes the place of all
+others and every language with a training row is learned; of each language's documents with a letter every fifth fits
+the slope, the others the counts. Everything else is done for every row, on whole texts.
 
 Defined results: a null text or one without a letter gives "und" and score 0; no training row gives "und" for all;
 repeated rows are judged alike; ties go to the first language by code point; an empty table gives an empty result.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER, SAMPLE_BYTES, REJECT, CACHE = 5, 1_500_000, 0.6, 300_000
+ORDER, SAMPLE_BYTES, SHARES, REJECT, CACHE = 5, 1_500_000, 16, 0.6, 300_000
 FIELDS = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -190,28 +192,38 @@ class Judge:
 
 
 def sample(docs: DataFrame, n_bytes: int = SAMPLE_BYTES) -> list:
-    """Rows (lang, text) of the training sample: for each language in hash order while the running size stays in the bound."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND coalesce(crc32(CAST(doc_id AS STRING)) % 4, 0) <> 2")
-    sizes = known.select("doc_id", "lang", F.octet_length("text").alias("size"), F.xxhash64("doc_id", F.lit("langid")).alias("h"))
-    # hash order by ranges of the hash: a first cut by a threshold from the totals keeps the window small
+    """Rows (lang, text) of the training sample: for each language different documents with a letter in hash order, each cut to its share, while the running size starts within the bound."""
+    known = docs.where(F.col("text").rlike(r"\p{L}")).where("lang IS NOT NULL AND coalesce(crc32(CAST(doc_id AS STRING)) % 4, 0) <> 2")
+    known = known.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"))
+    most = max(n_bytes // SHARES, 1)
+    sizes = known.groupBy("lang", "h").agg(F.least(F.max(F.octet_length("text")), F.lit(most)).cast("long").alias("size"))  # repeated rows once
+    # hash order by ranges of the hash: a first cut by a threshold from the totals keeps the window small. Shares being
+    # capped, at least 4 * SHARES documents are expected under it.
     totals = sizes.groupBy("lang").agg(F.sum("size").alias("total"))
     cut_at = totals.select("lang", F.least(F.lit(1.0), 4.0 * n_bytes / F.greatest(F.col("total"), F.lit(1))).alias("part"))
-    few = sizes.join(cut_at, "lang").where((F.col("h") / float(1 << 63)) < 2 * F.col("part") - 1)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    few = few.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= n_bytes).select("doc_id", "lang").distinct()
-    return known.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"], "left_semi").orderBy("lang", F.xxhash64("doc_id", F.lit("langid")), "text").select("lang", "text").collect()
+    few = sizes.join(cut_at, "lang").where((F.col("part") >= 1) | ((F.col("h") / float(1 << 63)) < 2 * F.col("part") - 1))
+    order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") < n_bytes)
+    few = few.select("lang", "h", F.least(F.col("size"), F.lit(n_bytes) - F.col("before")).cast("int").alias("take"))
+    rows = known.join(few, ["lang", "h"]).select("lang", "h", F.expr("CAST(substring(text, 1, take) AS STRING)").alias("text"))
+    return rows.dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").collect()
 
 
 def fitted(rows: list, order: int = ORDER, reject: float = REJECT) -> Judge:
-    """A judge from (lang, text) rows; every fifth row fits the slope."""
+    """A judge from (lang, text) rows; every fifth row of a language, of those with a letter, fits the slope."""
     counted: dict[str, list[bytes]] = {}
     held = []
-    for i, r in enumerate(rows):
-        if i % 5 == 4:
+    seen_of: Counter = Counter()
+    for r in rows:
+        words = cut(r[1])
+        if not words:
+            continue
+        seen_of[r[0]] += 1
+        if seen_of[r[0]] % 5 == 0:
             held.append(r)
         else:
-            counted.setdefault(r[0], []).extend(cut(r[1]))
-    judge = Judge(KneserNey({k: v for k, v in counted.items() if v}, order), 1.0, reject)
+            counted.setdefault(r[0], []).extend(words)
+    judge = Judge(KneserNey(counted, order), 1.0, reject)
     if held and len(judge.model.langs) > 1:
         seen = [(t, judge.model.langs.index(r[0])) for r, t in zip(held, judge.totals([r[1] for r in held])) if t is not None and r[0] in judge.model.langs]
         if seen:
