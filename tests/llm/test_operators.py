@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -58,6 +59,29 @@ def test_quality(docs, empty):
     assert not quality.measure(" ".join(noise[i : i + 7] for i in range(0, 9000, 7)), zstandard.ZstdCompressor(level=3))[6]
 
 
+def test_quality_bands_reject_what_the_counts_keep():
+    import zstandard
+
+    rng = np.random.default_rng(7)
+    pick = lambda letters, n: "".join(letters[int(x)] for x in rng.integers(0, len(letters), n))
+    split = lambda t: " ".join(t[i : i + 7] for i in range(0, len(t), 7))
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    judged = lambda t: quality.measure(t, zstandard.ZstdCompressor(level=3))
+    clean = [t for t in docs["text"] if t and not judged(t)[5]]
+    prose = "\n".join(clean).encode("ascii", "replace").decode()[:9000]
+    junk = {
+        "hex words": split(pick("0123456789abcdef", 5700)), "letters": split(pick("abcdefghijklmnopqrstuvwxyz", 5200)),
+        "half base64": prose[:3000] + " " + split(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2600)),
+        "template": "\n".join(f"Item {i * 37 % 1000} was sold {i} times" for i in range(200)),
+    }
+    for name, text in junk.items():
+        got = judged(text)
+        assert not got[5] and not got[6], (name, got)
+    assert sum(judged(t)[6] for t in clean) >= 0.95 * len(clean)
+    # chunks count from one on, and the last one ends with the text
+    assert [judged(prose[:n].ljust(n, "x"))[9] for n in (4095, 4096, 4097, 8192, 8193)] == [0, 1, 2, 2, 3]
+
+
 def test_order_minhash(spark, docs, empty):
     got = fingerprints.fingerprinted(docs).collect()
     assert len(got) == len(ROWS)
