@@ -174,6 +174,20 @@ def test_licenses(spark, empty):
     assert licenses.inherited(empty.selectExpr("source AS path", "text")).count() == 0
 
 
+def test_license_headers_in_use():
+    gpl = "{0} This program is free software: you can redistribute it and/or modify\n{0} it under the terms of the GNU {2}General Public License as published by\n{0} the Free Software Foundation, either version {1} of the License, or\n{0} (at your option) any later version.\n\ncode = 1"
+    want = {
+        "# SPDX-License-Identifier: Apache-2.0\ncode": "Apache-2.0", "/* SPDX-License-Identifier: MIT */": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "# spdx-license-identifier: (Zlib OR MIT)": "Zlib",
+        "intro\nThis project is licensed under the MIT License - see the LICENSE file for details\nmore": "MIT",
+        "#!/bin/sh\n" + gpl.format("#", 3, ""): "GPL-3.0", gpl.format(" *", 2, ""): "GPL-2.0", gpl.format("//", 3, "Affero "): "AGPL-3.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n" + "words of it\n" * 5000: "AGPL-3.0",
+        "a plain text that mentions its license and nothing else of use": None,
+    }
+    m = licenses.Matcher()
+    assert {t[:60]: m.own(t)[0] for t in want} == {t[:60]: w for t, w in want.items()}
+    assert m.own("Released under the MIT License.\n" + " \n" * 30_000)[2]  # a licence file of any length
+
+
 def test_line_links(spark, docs, empty):
     rng = np.random.default_rng(2)
     rows = []

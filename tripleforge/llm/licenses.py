@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's candidates are its lines that hold a cue word, with the whole text where it is short enough to be a licence
-file. Each is a sparse vector of term counts weighted by the templates' inverse document frequencies; the best cosine to
+An SPDX tag decides by itself: its first identifier, without -only, -or-later and +, with score 1. Else a file's candidates
+are its lines that hold a cue word, the windows of up to WINDOWS lines around them (a wrapped notice) and the whole text, whatever its
+length. Each is a sparse vector of term counts weighted by the templates' inverse document frequencies; the best cosine to
 a template decides. A file that is a licence file (by name or by the whole text's cosine) licenses its directory; a file
 without a licence of its own takes that of the nearest ancestor directory that has one. Directories, not files, are
 joined with their ancestors, so a directory with a third of all files costs one row for each level above it.
@@ -26,21 +27,26 @@ from .util import stored
 
 #: Notices by SPDX identifier.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD 3-Clause License"),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0", "This project is licensed under the Apache License 2.0 - see the LICENSE file for details", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD 3-Clause License", "This project is licensed under the BSD 3-Clause License - see the LICENSE file for details"),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0"),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0"),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0"),
-    "GPL-2.0": ("This program is free software; you can redistribute it under the terms of the GNU General Public License version 2.", "This work is licensed under the GNU General Public License, version 2"),
-    "GPL-3.0": ("This program is free software: you can redistribute it under the terms of the GNU General Public License version 3.", "This work is licensed under the GNU General Public License, version 3"),
-    "LGPL-3.0": ("This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 3.",),
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Released under the MIT License", "Licensed under the MIT License"),
+    "GPL-2.0": ("This program is free software; you can redistribute it under the terms of the GNU General Public License version 2.", "This work is licensed under the GNU General Public License, version 2", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": ("This program is free software: you can redistribute it under the terms of the GNU General Public License version 3.", "This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This project is licensed under the GNU General Public License v3.0 - see the LICENSE file for details"),
+    "LGPL-2.1": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0": ("This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License - see the LICENSE file for details"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 CUES = (b"license", b"licence", b"licensed", b"spdx", b"permission is hereby", b"redistribution and use")
-LIMIT, FILE_LIMIT, FILE_BYTES = 0.60, 0.85, 40_000
+LIMIT, FILE_LIMIT = 0.60, 0.85
+#: Lines of a window, and how many of them may stand before the line with the cue.
+WINDOWS, BEFORE = (2, 3, 4, 5), 2
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([-._][^/]*)?$"
 FIELDS = "path string, own_license string, own_score double, is_license_file boolean"
+_SPDX = re.compile(r"SPDX-License-Identifier:[\s(]*([A-Za-z0-9][A-Za-z0-9.+-]*)", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -69,6 +75,11 @@ class Matcher:
         k = max(range(len(dots)), key=lambda i: (dots[i], -i))
         return (dots[k] / math.sqrt(norm), self.names[k]) if norm else (0.0, self.names[0])
 
+    def known(self, tag: str) -> str:
+        """The identifier as the templates spell it; one that no template has stays as it is."""
+        plain = re.sub(r"(?i)(-only|-or-later|\+)$", "", tag).rstrip(".-")
+        return next((n for n in self.names if n.lower() == plain.lower()), plain)
+
     def own(self, text: str | None) -> tuple[str | None, float, bool]:
         """Licence, cosine, and whether the whole text is one."""
         data = (text or "").encode("utf-8", "surrogatepass")
@@ -76,11 +87,19 @@ class Matcher:
         if not any(c in low for c in CUES):
             return None, 0.0, False
         found = (0.0, "")
-        for line in data.split(b"\n"):
+        lines = data.split(b"\n")
+        spans = {}  # ordered, each once
+        for i, line in enumerate(lines):
             if any(c in line.lower() for c in CUES):
-                found = max(found, self.best(line.decode("utf-8", "replace")), key=lambda x: x[0])
-        whole = self.best(text) if len(data) <= FILE_BYTES else (0.0, "")
+                spans[i, i + 1] = None
+                spans |= {(at, at + n): None for n in WINDOWS for at in range(max(i - BEFORE, 0), i + 1) if i < at + n <= len(lines)}
+        for at, end in spans:
+            found = max(found, self.best(b" ".join(lines[at:end]).decode("utf-8", "replace")), key=lambda x: x[0])
+        whole = self.best(text)
         is_file = whole[0] >= FILE_LIMIT
+        tag = _SPDX.search(text)
+        if tag:
+            return self.known(tag[1]), 1.0, is_file
         found = max(found, whole, key=lambda x: x[0])
         return (found[1], found[0], is_file) if found[0] >= LIMIT or is_file else (None, found[0], False)
 
