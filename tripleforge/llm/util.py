@@ -22,9 +22,11 @@ def ascii_lower(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tripleforge-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -33,8 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors, and later plans prune its columns."""
     at = f"{shared_dir(df.sparkSession)}/tripleforge-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
