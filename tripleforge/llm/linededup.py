@@ -28,21 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import let
-from .util import stored
+from .util import DOC_KEY, fresh, stored
 
 EDITS, BROADCAST_ROWS = 2, 500_000
 LETTERS, LATER, BITS = "eationsrld", " umcpgvfbhkwyz", 3
 MODULO = 1 << BITS
-_LAST = "9223372036854775807"
-
-
-#: SQL of a document's key: its place in the order and what tells texts of one doc_id (or none) apart.
-_DOC = f"named_struct('none', doc_id IS NULL, 'oid', coalesce(CAST(doc_id AS BIGINT), {_LAST}), 't1', xxhash64(text), 't2', hash(text))"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """line, h, h2, ord (the document's key and the line number) of every line that is not blank."""
-    rows = docs.selectExpr(f"{_DOC} AS doc", "text").selectExpr("doc", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.col("line").rlike(r"(?U)\S"))
+    rows = docs.selectExpr(f"{DOC_KEY} AS doc", "text").selectExpr("doc", "posexplode(split(text, '\\n', -1)) AS (pos, line)").where(F.col("line").rlike(r"(?U)\S"))
     return rows.selectExpr("line", "xxhash64(line) AS h", "hash(line) AS h2", "named_struct('doc', doc, 'pos', pos) AS ord")
 
 
@@ -130,17 +125,18 @@ def _verdicts(docs: DataFrame, edits: int) -> DataFrame:
 
 def decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_links, dropped for every row of docs(doc_id, text)."""
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"{_DOC} AS doc", "CAST(coalesce(octet_length(text) - octet_length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"{DOC_KEY} AS doc", "CAST(coalesce(octet_length(text) - octet_length(replace(text, '\\n', '')) + 1, 1) AS BIGINT) AS n_lines")
     out = rows.join(_verdicts(docs, edits), "doc", "left")
     return out.selectExpr("doc_id", "n_lines", "CAST(coalesce(size(dropped), 0) AS BIGINT) AS n_dropped", "coalesce(n_links, 0) AS n_links", "coalesce(dropped, CAST(array() AS ARRAY<INT>)) AS dropped")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with the dropped lines taken out of text; n_chars, if there, is counted again; every row stays."""
-    v = _verdicts(docs, edits).where("size(dropped) > 0").select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
-    out = docs.join(v, F.expr(_DOC) == v["__doc"], "left")
-    cut = F.expr("CASE WHEN __dropped IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(__dropped, i)), '\\n') END")
+    key, cuts = fresh(docs, "doc"), fresh(docs, "cuts")
+    v = _verdicts(docs, edits).where("size(dropped) > 0").select(F.col("doc").alias(key), F.col("dropped").alias(cuts))
+    out = docs.join(v, F.expr(DOC_KEY) == v[key], "left")
+    cut = F.expr(f"CASE WHEN {cuts} IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains({cuts}, i)), '\\n') END")
     out = out.withColumn("text", cut)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import stored
+from .util import fresh, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -83,9 +83,10 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns: one pass over the texts after the counts."""
+    name, whole, cut, copy = (fresh(docs, x) for x in ("mix_source", "mix_whole", "mix_cut", "mix_copy"))
     sizes = stored(sized(docs))
-    cuts = stored(thresholds(sizes, targets(sizes, weights, share, most))).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    cuts = stored(thresholds(sizes, targets(sizes, weights, share, most))).select(F.col("source").alias(name), F.col("whole").alias(whole), F.col("cut").alias(cut))
     h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")), 64 - LEVELS * BITS)
-    out = docs.join(cuts, docs.source.eqNullSafe(cuts["__source"]), "left")
-    times = F.coalesce(F.col("__whole"), F.lit(0)) + F.when((h < F.col("__cut")) & (F.col("__whole") < most), 1).otherwise(0)
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(cuts, docs.source.eqNullSafe(cuts[name]), "left")
+    times = F.coalesce(F.col(whole), F.lit(0)) + F.when((h < F.col(cut)) & (F.col(whole) < most), 1).otherwise(0)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

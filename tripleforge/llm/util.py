@@ -47,11 +47,17 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: SQL of a row's key: its place by doc_id (none last) and two hashes that tell texts of one doc_id (or none) apart.
+DOC_KEY = "named_struct('none', doc_id IS NULL, 'oid', coalesce(CAST(doc_id AS BIGINT), 9223372036854775807), 't1', xxhash64(text), 't2', hash(text))"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dropped(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns whose names the operator makes itself, so that extra columns cannot clash."""
-    low = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or that with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
