@@ -5,8 +5,10 @@ a beta-binomial prior: everything -> suffix -> registered domain -> host. A leve
 from the spread of the rates of its groups. A host is blocked where the posterior's lower bound passes a limit.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and the verdict "allow"; null
-labels are no labels; repeated pages are judged alike; a page labelled twice counts twice; an empty table gives an
-empty result. Counts are aggregated by host before anything is joined, so a hot host costs one row.
+labels are no labels; repeated pages are judged alike and count once for their host; of several labels of a page the
+worst holds; a null page_id has no label; an empty table gives an empty result; extra columns are ignored. Counts are
+aggregated by host and stored, so a hot host costs one row and every level is made from the level below. A host equal to
+its domain, or a domain equal to its suffix, is a group of one and keeps its parent's rate as prior.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import ascii_lower
+from .util import ascii_lower, stored
 
 #: Rules in the form host/path prefix; the longest that fits wins.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Suffixes of two labels; any other suffix has one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "co.jp", "com.au", "com.br", "co.in", "com.cn", "co.nz", "co.za")
+#: Suffixes of two labels: a general second label under a country's two letters. Any other suffix has one.
+TWO_LABELS = r"^(?:com?|org?|net?|ac|edu?|gov?|gob|mil|nom|sch|ltd|plc|ad|lg|id|web)\.[a-z]{2}$"
 #: One-sided normal bound, limit on the bad rate, and the range of a prior's weight in pages.
 Z, LIMIT, WEIGHT = 1.2815515655446004, 0.5, (2.0, 200.0)
 
@@ -50,46 +52,40 @@ def with_levels(hosts: DataFrame) -> DataFrame:
     """Adds domain (the registered one) and suffix to a table with host."""
     bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    deep = two.isin(*TWO_LABEL_SUFFIXES)
+    deep = two.rlike(TWO_LABELS) & (bare != two)
     ip = bare.rlike(r"^[0-9.]+$|^\[")
     domain = F.when(ip, bare).when(deep, F.substring_index(bare, ".", -3)).otherwise(two)
     suffix = F.when(ip, F.lit("")).when(deep, two).otherwise(F.substring_index(bare, ".", -1))
     return hosts.withColumn("domain", domain).withColumn("suffix", suffix)
 
 
-def _weight(groups: DataFrame, name: str) -> DataFrame:
-    """One row: the moment estimate of the prior weight from groups with counts x of n."""
+def _weight(groups: DataFrame) -> tuple[float, float, float]:
+    """The moment estimate of the prior weight from groups with counts x of n; all counts, all bad ones."""
     low, high = WEIGHT
-    s = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("N"),
-        F.coalesce(F.sum("x"), F.lit(0)).cast("double").alias("X"),
-        F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).cast("double").alias("N2"),
-        F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("x") * F.col("x") / F.col("n"))), F.lit(0.0)).alias("R"),
-        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).cast("double").alias("k"),
-    )
-    p = F.when(F.col("N") > 0, F.col("X") / F.when(F.col("N") > 0, F.col("N"))).otherwise(0.5)
-    s = s.withColumn("pq", p * (1 - p)).withColumn("S", F.col("R") - F.when(F.col("N") > 0, F.col("X") * F.col("X") / F.when(F.col("N") > 0, F.col("N"))).otherwise(0.0))
-    s = s.withColumn("den", F.col("pq") * (F.col("N") - F.when(F.col("N") > 0, F.col("N2") / F.when(F.col("N") > 0, F.col("N"))).otherwise(0.0) - (F.col("k") - 1)))
-    rho = F.when(F.col("den") > 0, (F.col("S") - F.col("pq") * (F.col("k") - 1)) / F.when(F.col("den") > 0, F.col("den"))).otherwise(0.0)
-    s = s.withColumn("rho", F.least(F.greatest(rho, F.lit(1e-9)), F.lit(1.0)))
-    return s.select(F.least(F.greatest((1 - F.col("rho")) / F.col("rho"), F.lit(low)), F.lit(high)).alias(name))
+    sums = ("sum(n)", "sum(x)", "sum(CAST(n AS DOUBLE) * n)", "sum(CASE WHEN n > 0 THEN CAST(x AS DOUBLE) * x / n END)", "sum(CASE WHEN n > 0 THEN 1 END)")
+    N, X, N2, R, k = (float(v or 0) for v in groups.agg(*[F.expr(e).alias(f"s{i}") for i, e in enumerate(sums)]).first())
+    if not N:
+        return high, N, X
+    pq = X / N * (1 - X / N)
+    room = pq * (N - N2 / N - (k - 1))
+    rho = min(max((R - X * X / N - pq * (k - 1)) / room, 1e-9), 1.0) if room > 0 else 1e-9
+    return min(max((1 - rho) / rho, low), high), N, X
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, x, mean, lower for every host of pages (with host); outcomes: page_id, bad (0 or 1)."""
-    seen = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("x"))
-    hosts = pages.join(seen, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x"))
-    hosts = with_levels(hosts)
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    every = suffixes.agg(((F.coalesce(F.sum("x"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m0"))
-    weights = every.crossJoin(_weight(suffixes, "ks")).crossJoin(_weight(domains, "kd")).crossJoin(_weight(hosts, "kh"))  # one row each
-    weights = F.broadcast(weights)
-    s = suffixes.crossJoin(weights).select("suffix", ((F.col("m0") * F.col("ks") + F.col("x")) / (F.col("ks") + F.col("n"))).alias("ms"), "kd", "kh")
-    d = domains.join(s, "suffix").select("suffix", "domain", ((F.col("ms") * F.col("kd") + F.col("x")) / (F.col("kd") + F.col("n"))).alias("md"), "kh")
-    h = hosts.join(d, ["suffix", "domain"]).select("host", "n", "x", (F.col("md") * F.col("kh") + F.col("x")).alias("a"), (F.col("kh") + F.col("n")).alias("w"))
-    mean = F.col("a") / F.col("w")
-    return h.select("host", "n", "x", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (F.col("w") + 1))).alias("lower"))
+    """host, n, x, mean, lower for every host of pages (with host); outcomes: page_id, bad (0 or 1). A page counts once for a host, as bad if one of its outcomes is."""
+    seen = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
+    at = pages.select("page_id", "host").distinct().join(seen, "page_id", "left")
+    hosts = stored(with_levels(at.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))))
+    domains = stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
+    (ks, N, X), (kd, *_), (kh, *_) = map(_weight, (suffixes, domains, hosts))
+    top = (X + 1.0) / (N + 2.0)
+    shrunk = lambda prior, k: (prior * k + F.col("x")) / (k + F.col("n"))
+    s = suffixes.select("suffix", shrunk(F.lit(top), ks).alias("ms"))
+    d = domains.join(s, "suffix").select("suffix", "domain", shrunk(F.col("ms"), kd).alias("md"))
+    h = hosts.join(d, ["suffix", "domain"]).withColumn("mean", shrunk(F.col("md"), kh))
+    return h.select("host", "n", "x", "mean", (F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (kh + F.col("n") + 1))).alias("lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
@@ -110,4 +106,4 @@ def outcomes_of(pages: DataFrame, labels: DataFrame, number: str = r"/([0-9]{1,1
     marks = labels.select(F.col("doc_id").cast("long").alias("shown"), bad.alias("bad")).where("shown IS NOT NULL AND bad IS NOT NULL")
     marks = marks.groupBy("shown").agg(F.max("bad").alias("bad"))
     shown = pages.select("page_id", F.expr("try_cast(nullif(regexp_extract(path, '" + number.replace("\\", "\\\\") + "', 1), '') AS bigint)").alias("shown"))
-    return shown.join(marks, "shown").select("page_id", "bad")
+    return shown.join(marks, "shown").groupBy("page_id").agg(F.max("bad").alias("bad"))
