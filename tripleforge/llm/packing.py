@@ -4,7 +4,8 @@ A document is its tokens and an end id. What fills whole windows is cut off at o
 fill levels with an open window, and a new window, it goes to the one after which the sum of squared counts of open
 windows by fill level is least. The counts are kept in an array by level. At the end of a part the open windows are
 merged: the emptiest are cut into the room of the fullest, so that at most one window of a part is not full; that one
-is padded, unless its length is a power of two.
+is padded, unless its length is a power of two. So the rule decides how few documents are cut, the merge how little is
+padded: rule_padding is what the part's windows would be padded by without the merge.
 
 Documents are dealt by a hash of doc_id into parts whose number follows the count of rows, and each part is packed in
 the order of doc_id, so a lost executor's work comes out the same again; sequence ids are the part and a running number.
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END = 2048, 1
-FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
+FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, rule_padding long"
 #: Rows of a part, and words held in a worker's cache of encoded words.
-PART_ROWS, CACHE = 8192, 600_000
+PART_ROWS, CACHE = 8192, 300_000
 
 
 def tokenizer_path() -> str:
@@ -145,6 +146,10 @@ class Packer:
             self.open[best + size].append(held)
             n[best + size] += 1
 
+    def padding(self) -> int:
+        """What the open windows lack."""
+        return sum(padded(f, self.window) - f for f in range(1, self.window) for _ in self.open[f])
+
     def close(self) -> list[list[tuple]]:
         left = [(f, held) for f in range(1, self.window) for held in self.open[f]]
         out, low, high = [], 0, len(left) - 1
@@ -178,7 +183,6 @@ def padded(length: int, window: int = WINDOW) -> int:
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """FIELDS: a row for each piece of docs(doc_id, text)."""
     path = path or tokenizer_path()
-    spark = docs.sparkSession
     parts = parts or max(1, -(-docs.select(F.count("*")).first()[0] // PART_ROWS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -191,21 +195,21 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, parts
     encoded = texts.mapInArrow(encode, "doc_id long, ids binary")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     dealt = encoded.select("doc_id", "ids", part.alias("part"))
-    dealt = dealt.repartition(max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
-        kinds = [pa.int64()] * 8
+        kinds = [pa.int64()] * 9
         state: dict = {"part": None, "packer": None, "docs": [], "made": 0}
 
-        def rows(windows: list, table: list) -> Iterator[tuple]:
+        def rows(windows: list, table: list, lack: int) -> Iterator[tuple]:
             for held in windows:
                 at, seq = 0, (state["part"] << 32) | state["made"]
                 state["made"] += 1
                 total = sum(x[2] for x in held)
                 for doc, start, length in held:
                     doc_id, data = table[doc]
-                    yield doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, seq, at, padded(total, window)
+                    yield doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, seq, at, padded(total, window), lack
                     at += length
 
         def batch(made) -> pa.RecordBatch:
@@ -214,7 +218,10 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, parts
 
         def finish() -> list:
             p = state["packer"]
-            return list(rows(p.full, state["docs"])) + list(rows(p.close(), state["docs"])) if p else []
+            if not p:
+                return []
+            lack = p.padding()
+            return [*rows(p.full, state["docs"], lack), *rows(p.close(), state["docs"], lack)]
 
         for b in batches:
             made: list = []
