@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER, SAMPLE_BYTES, SHARES, REJECT, CACHE = 5, 1_500_000, 16, 0.6, 300_000
+from .util import stored
+
+ORDER, SAMPLE_BYTES, SHARES, REJECT, CACHE, BROADCAST_ROWS = 5, 1_500_000, 16, 0.6, 300_000, 500_000
 FIELDS = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -204,8 +206,9 @@ def sample(docs: DataFrame, n_bytes: int = SAMPLE_BYTES) -> list:
     few = sizes.join(cut_at, "lang").where((F.col("part") >= 1) | ((F.col("h") / float(1 << 63)) < 2 * F.col("part") - 1))
     order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     few = few.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") < n_bytes)
-    few = few.select("lang", "h", F.least(F.col("size"), F.lit(n_bytes) - F.col("before")).cast("int").alias("take"))
-    rows = known.join(few, ["lang", "h"]).select("lang", "h", F.expr("CAST(substring(text, 1, take) AS STRING)").alias("text"))
+    few = stored(few.select("lang", "h", F.least(F.col("size"), F.lit(n_bytes) - F.col("before")).cast("int").alias("take")))
+    small = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few  # else the texts are dealt by language and hash
+    rows = known.join(small, ["lang", "h"]).select("lang", "h", F.expr("CAST(substring(text, 1, take) AS STRING)").alias("text"))
     return rows.dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").collect()
 
 
