@@ -34,9 +34,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a tree of files: source/lang/doc_id.txt."""
+    """documents as a tree of files: source/lang/n/doc_id.txt with n = doc_id div 100; the document with doc_id = 100 n is its directory's LICENSE."""
     docs = load(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    path = F.expr("concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id div 100 AS STRING), 'none'), CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE concat(coalesce(CAST(doc_id AS STRING), 'none'), '.txt') END)")
     return licenses.inherited(docs.select("doc_id", path.alias("path"), "text"), "doc_id").withColumnRenamed("key", "doc_id")
 
 
