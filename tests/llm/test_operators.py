@@ -441,7 +441,8 @@ def test_lm_probabilities_against_the_restaurants(spark):
     for (u, _), n in pairs.items():
         total[u] += n
     assert set(model.known) == {u for u in total if total[u] * 14 >= model.N} and lm.END in model.known and b"eel" not in model.known
-    own = {bytes(r.word): r for r in model.words.collect()}
+    Row = collections.namedtuple("Row", "c u a p")
+    own = {bytes(r.word): Row(r.c, np.frombuffer(bytes(r.pairs), lm._PAIR)["u"].tolist(), np.frombuffer(bytes(r.a), "<f4").tolist(), np.frombuffer(bytes(r.p), "<f8").tolist()) for r in model.words.collect()}
     names = {i: u for u, i in model.known.items()}
     for w, r in own.items():
         assert r.c == sum(n for (_, x), n in pairs.items() if x == w)
