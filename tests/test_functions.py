@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripleforge.functions import terms
 from tripleforge.operators import prompts, scoring
 from tripleforge.plans.patterns import PATTERNS, chosen
-from tripleforge.sources.relations import eval_name, task_key, uids
+from tripleforge.sources.names import eval_name, response_name, task_key, uids
 
 
 def one(spark, col, **values):
@@ -65,7 +65,7 @@ def test_file_names(spark):
     s = F.col("s")
     stem = "response__m__NRP-full__rva__rdfs2__n100__b-c925b787__t-00000000__batch_ab12__20260101000000"
     assert one(spark, task_key(s), s=stem) == "NRP-full__rva__rdfs2__n100__b-c925b787__t-00000000"
-    assert one(spark, eval_name(s), s=stem).pattern_id == "rdfs2" and one(spark, eval_name(s), s="a__b") is None
+    assert one(spark, response_name(s), s=stem).pattern_id == "rdfs2" and one(spark, eval_name(s), s="a__b") is None
     assert one(spark, uids(s), s=stem) == ["b-c925b787", "t-00000000"]
 
 

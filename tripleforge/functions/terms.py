@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 PICO = 1_000_000_000_000
 #: Letters that stand for the rules where their names are hidden.
 RULE_LETTERS = {"ruleA": "rdfs2", "ruleB": "rdfs3", "ruleC": "rdfs5", "ruleD": "rdfs7", "ruleE": "rdfs9", "ruleF": "rdfs11"}
+#: What counts as a word.
 _WORDS = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|\d+|[()]"
 
 
@@ -31,8 +32,8 @@ def ascii_fold(s: Column) -> Column:
     return F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(_folded(s))
 
 
-def split_words(s: Column) -> Column:
-    return F.flatten(F.transform(F.split(s, "[ _]+"), lambda p: F.regexp_extract_all(p, F.lit(_WORDS), F.lit(0))))
+def split_words(s: Column, fold: bool = False) -> Column:
+    return F.flatten(F.transform(F.split(ascii_fold(s) if fold else s, "[ _]+"), lambda p: F.regexp_extract_all(p, F.lit(_WORDS), F.lit(0))))
 
 
 def _capital(w: Column) -> Column:
@@ -43,16 +44,24 @@ def _no_brackets(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin("(", ")"))
 
 
-def class_name(s: Column) -> Column:
-    return F.array_join(F.transform(_no_brackets(split_words(s)), _capital), "")
+def class_name(s: Column, fold: bool = False) -> Column:
+    return F.array_join(F.transform(_no_brackets(split_words(s, fold)), _capital), "")
 
 
-def property_name(s: Column) -> Column:
-    return F.array_join(F.transform(_no_brackets(split_words(s)), lambda w, i: F.when(i == 0, F.lower(w)).otherwise(_capital(w))), "")
+def property_name(s: Column, fold: bool = False) -> Column:
+    return F.array_join(F.transform(_no_brackets(split_words(s, fold)), lambda w, i: F.when(i == 0, F.lower(w)).otherwise(_capital(w))), "")
 
 
-def instance_name(s: Column) -> Column:
-    return F.array_join(F.transform(split_words(s), _capital), "_")
+def instance_name(s: Column, fold: bool = False) -> Column:
+    return F.array_join(F.transform(split_words(s, fold), _capital), "_")
+
+
+WIKIDATA = "http://www.wikidata.org/entity/"
+
+
+def property_of(uri: Column, label: Column, fold: bool = True) -> Column:
+    """A property's name: of an opaque Wikidata entity that of its label, of any other its local name."""
+    return F.when(uri.startswith(WIKIDATA), property_name(label, fold)).otherwise(local_name(uri))
 
 
 def slot_kind(slot: str) -> str:
@@ -119,13 +128,18 @@ def strict_triples(text: Column) -> Column:
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-def flexible(candidate: Column, triple: Column) -> Column:
-    """Whether the candidate is the triple's three terms in order, between commas or white space."""
+def flexible(candidate: Column, triple: Column, normal: Column | None = None) -> Column:
+    """Whether the candidate is the triple's three terms in order, between commas or white space.
+
+    Where no term holds a comma or white space, that is so exactly if both have one normal form (normal: the candidate's, if
+    known); a pattern is built for the other triples alone.
+    """
     quote = lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     p = triple_parts(triple)
     gap = F.lit(f"(?:,|{_SPACE})+")
     pattern = F.concat(F.lit(rf"(?U)\A{_SPACE}*"), quote(p["s"]), gap, quote(p["p"]), gap, quote(p["o"]), F.lit(rf"{_SPACE}*\z"))
-    return F.rlike(candidate, pattern)
+    plain = F.lit(rf"(?U)^[^,\s\x1c-\x1f]+, [^,\s\x1c-\x1f]+, [^,\s\x1c-\x1f]+$")
+    return F.when(F.rlike(triple, plain), (normal_candidate(candidate) if normal is None else normal) == F.replace(triple, F.lit(","), F.lit(""))).otherwise(F.rlike(candidate, pattern))
 
 
 def normal_candidate(c: Column) -> Column:
@@ -180,3 +194,124 @@ def query_hash(q: Column) -> Column:
 
 def tokens_estimated(s: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(s) / 4)).cast("long")
+
+
+# --- rules, identifiers, addresses ---
+
+
+def expanded_rules(pattern: Column) -> Column:
+    """Rules of a pattern: rdfs2_3 is rdfs2 and rdfs3; what is no pattern stands for itself."""
+    parts = F.transform(F.split(F.regexp_replace(pattern, "^rdfs", ""), "_"), lambda n: F.concat(F.lit("rdfs"), n))
+    return F.when(pattern.rlike(r"^rdfs\d+(_\d+)*$"), parts).otherwise(F.array(pattern))
+
+
+def rule_order(pattern: Column) -> Column:
+    """Sort key: number of rules, then the rules by number, so that rdfs9 stands before rdfs11."""
+    numbers = F.transform(F.regexp_extract_all(pattern, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
+    return F.struct(F.size(numbers).alias("n"), numbers.alias("rules"), pattern.alias("pattern"))
+
+
+def uid(letter: str, *content: Column) -> Column:
+    """The letter, a hyphen and eight hex digits: of the content's hash, so that a rerun gives the same; without content random ones."""
+    digits = F.sha2(F.concat_ws("\x1f", *content), 256) if content else F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    return F.concat(F.lit(f"{letter}-"), F.substring(digits, 1, 8))
+
+
+RESOURCE = "http://dbpedia.org/resource/"
+
+
+def unwrapped(uri: Column) -> Column:
+    """A resource whose local part is itself a resource's IRI, once or more, as that resource."""
+    return F.regexp_replace(uri, rf"^(?:{RESOURCE})+(?={RESOURCE})", "")
+
+
+def url_encoded(name: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and _()-,.'!*~ stay."""
+    out = F.url_encode(name)
+    for code, char in (("+", "%20"), ("%28", "("), ("%29", ")"), ("%2C", ","), ("%27", "'"), ("%21", "!"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def entity_number(uri: Column) -> Column:
+    """Q and its number of a Wikidata entity's IRI, else null."""
+    return F.when(uri.startswith(WIKIDATA), F.nullif(F.regexp_extract(uri, f"^{WIKIDATA}(Q[1-9][0-9]*)$", 1), F.lit("")))
+
+
+def path_safe(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_")
+
+
+def source_name(source: Column, endpoints: Column) -> Column:
+    """A sample's source as named, else by its first endpoint."""
+    first = F.get(endpoints, F.lit(0))
+    known = F.coalesce(*[F.when(F.contains(first, F.lit(part)), F.lit(short)) for part, short in (("wikidata", "wdt"), ("dbpedia", "dbp"), ("lov", "lov"))])
+    return F.coalesce(source, known, F.lit("unknown"))
+
+
+def utc_text(seconds: Column) -> Column:
+    """YYYYMMDDHHMMSS of seconds since 1970, in UTC whatever the session's zone."""
+    day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    clock = F.lpad((F.floor(rest / 3600) * 10000 + F.floor(F.pmod(rest, F.lit(3600)) / 60) * 100 + F.pmod(rest, F.lit(60))).cast("long").cast("string"), 6, "0")
+    return F.concat(F.date_format(F.date_from_unix_date(day.cast("int")), "yyyyMMdd"), clock)
+
+
+def duration_text(seconds: Column) -> Column:
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    short = F.format_string("%.1fs", seconds)
+    minutes = F.concat(whole(seconds / 60), F.lit("m"), whole(F.pmod(seconds, F.lit(60.0))), F.lit("s"))
+    hours = F.concat(whole(seconds / 3600), F.lit("h"), whole(F.pmod(seconds, F.lit(3600.0)) / 60), F.lit("m"), whole(F.pmod(seconds, F.lit(60.0))), F.lit("s"))
+    return F.when(seconds < 60, short).when(seconds < 3600, minutes).otherwise(hours)
+
+
+# --- JSON of requests and responses ---
+
+
+def json_at(value: Column, path: str) -> Column:
+    """The variant at a dotted path of keys and list places: null where it is missing, a JSON null where that stands there."""
+    for part in path.split("."):
+        inner = F.try_variant_get(value, "$['" + part.replace("'", "\\'") + "']", "variant")
+        value = F.coalesce(inner, F.try_variant_get(value, f"$[{part}]", "variant")) if part.isdecimal() else inner
+    return value
+
+
+def response_fields(raw: Column, fields: dict[str, str]) -> Column:
+    """JSON of the configured fields (name -> dotted path) that a response has: missing ones are left out, null and nested ones kept."""
+    v = F.try_parse_json(raw)
+    quoted = lambda name: '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'
+    parts = [F.when(json_at(v, path).isNotNull(), F.concat(F.lit(quoted(name)), F.to_json(json_at(v, path)))) for name, path in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def input_text(raw: Column) -> Column:
+    """What a request line sends: a batch line's message contents by lines, else its system text, if any, and its input."""
+    v = F.try_parse_json(raw)
+    get = lambda p: F.try_variant_get(v, p, "string")
+    contents = F.transform(F.try_variant_get(v, "$.body.messages", "array<variant>"), lambda m: F.coalesce(F.try_variant_get(m, "$.content", "string"), F.lit("")))
+    single = F.concat_ws("\n", F.nullif(get("$.system"), F.lit("")), F.coalesce(get("$.input"), F.lit("")))
+    return F.when(F.try_variant_get(v, "$.body", "variant").isNotNull(), F.coalesce(F.array_join(contents, "\n"), F.lit(""))).otherwise(single)
+
+
+def expected_text(expected: Column, condition: Column, pattern: Column) -> Column:
+    """The answer that is asked for: the expected triples and, under ARP, the used rules, by letters under ARP-def."""
+    letter = F.create_map(*[F.lit(x) for short, rule in RULE_LETTERS.items() for x in (rule, short)])
+    rules = F.transform(F.regexp_extract_all(pattern, F.lit(r"\d+"), F.lit(0)), lambda n: F.concat(F.lit("rdfs"), n))
+    shown = F.when(condition == "ARP-def", F.transform(rules, lambda r: F.coalesce(letter[r], r))).otherwise(rules)
+    used = F.concat(F.lit("[used_rules: "), F.array_join(shown, ", "), F.lit("]"))
+    out = F.coalesce(expected, F.lit(""))
+    return F.when(~condition.startswith("ARP-"), out).when(out == "", used).otherwise(F.concat(out, F.lit("\n"), used))
+
+
+# --- reasons ---
+
+
+def sameas_error(*reasons: Column) -> Column:
+    """Different reasons that are failed identity queries, in order; null without one."""
+    kept = F.array_distinct(F.filter(F.array(*reasons), lambda r: F.coalesce(r.startswith("sameAs query error"), F.lit(False))))
+    return F.when(F.size(kept) > 0, F.array_join(kept, "; "))
+
+
+def unresolved_reason(s_ids: Column, s_reason: Column, o_ids: Column, o_reason: Column) -> Column:
+    """Which ends of a triple have no identity, and why; null if both have one."""
+    part = lambda end, ids, why: F.when(F.coalesce(F.size(ids), F.lit(0)) <= 0, F.concat(F.lit(f"{end}="), F.coalesce(F.nullif(why, F.lit("")), F.lit("unresolved"))))
+    return F.nullif(F.concat_ws("; ", part("s", s_ids, s_reason), part("o", o_ids, o_reason)), F.lit(""))

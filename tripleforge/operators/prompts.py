@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import expanded_rules
 from ..plans.patterns import PATTERNS
 
 CONDITIONS = ("NRP-full", "NRP-name", "NRP-def", "ARP-full", "ARP-name", "ARP-def")
@@ -38,9 +40,30 @@ def condition_name(text: str) -> str:
     raise ValueError(f"unknown prompting condition: {text}")
 
 
+def condition_column(text: Column) -> Column:
+    """The same over rows; an unknown one raises."""
+    known = F.create_map(*[F.lit(x) for c in CONDITIONS for x in (c.lower(), c)])[F.lower(F.trim(text))]
+    return F.when(text.isNull() | known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown prompting condition: "), text)))
+
+
+#: Rule counts that a condition is defined for.
+VALID = {(c, n) for c in CONDITIONS for n in (1, 2, 3)}
+
+
+def is_valid(condition: str, n_rules: int) -> bool:
+    return (condition, n_rules) in VALID
+
+
 def rule_keys(pattern: str) -> list[str]:
-    """Rules of a pattern id: rdfs2_3 is rdfs2 and rdfs3."""
-    return [r for r in (f"rdfs{n}" for n in pattern.removeprefix("rdfs").split("_")) if r in SIX]
+    """Known rules of a pattern id: rdfs2_3 is rdfs2 and rdfs3; none where it is no pattern id."""
+    if not re.fullmatch(r"rdfs\d+(_\d+)*", pattern.strip()):
+        return []
+    return [r for r in (f"rdfs{n}" for n in pattern.strip().removeprefix("rdfs").split("_")) if r in SIX]
+
+
+def rule_key_column(pattern: Column) -> Column:
+    """The same over rows."""
+    return F.when(pattern.rlike(r"^\s*rdfs\d+(_\d+)*\s*$"), F.filter(expanded_rules(F.trim(pattern)), lambda r: r.isin(*SIX))).otherwise(F.array().cast("array<string>"))
 
 
 def rule_text(pattern: str) -> str:
@@ -50,12 +73,14 @@ def rule_text(pattern: str) -> str:
     return f"if {' and '.join(map(show, p.premise))} then {' and '.join(map(show, p.conclusion))}"
 
 
-def frame(condition: str, pattern: str) -> tuple[str, str]:
-    """What stands before and after the premise in a prompt."""
+def frame(condition: str, pattern: str, empty: bool = False) -> tuple[str, str]:
+    """What stands before and after the premise in a prompt; empty: without the necessary rules, as a template."""
     kind, form = condition_name(condition).split("-")
     keys = rule_keys(pattern) if kind == "NRP" else list(SIX)
-    one = kind == "NRP" and PATTERNS[pattern].n_rules == 1
-    if form == "name":
+    one = kind == "NRP" and len(keys) == 1
+    if empty and kind == "NRP":
+        rules = ": " if one and form == "full" else ""
+    elif form == "name":
         rules = ", ".join(keys)
     elif form == "full":
         rules = "\n".join(f"{k}: {rule_text(k)}" for k in keys)
@@ -78,10 +103,10 @@ def prompt(condition: str, pattern: str, premise: str) -> str:
     return head + premise + tail
 
 
-def template_id(condition: str, pattern: str) -> str:
-    """t- and eight hex digits over the system text, the condition's kind and the empty template."""
-    kind = "single" if condition.startswith("NRP") and PATTERNS[pattern].n_rules == 1 else "multi"
-    return "t-" + hashlib.sha256("\n---\n".join((SYSTEM, condition, kind, prompt(condition, pattern, ""))).encode()).hexdigest()[:8]
+def template_id(condition: str, pattern: str = "") -> str:
+    """t- and eight hex digits over the system text, the condition and its template without rules and premise: one for all patterns of a condition, but for one rule and for several under NRP."""
+    whole = "".join(frame(condition, pattern, empty=True))
+    return "t-" + hashlib.sha256("\n---\n".join((SYSTEM, condition_name(condition), whole)).encode()).hexdigest()[:8]
 
 
 def _frames(spark, patterns: list[str], conditions: list[str]) -> DataFrame:

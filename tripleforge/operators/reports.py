@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import mean, ratio
+from ..functions.terms import expected_text, input_text, mean, ratio, rule_order, tokens_estimated
+from ..sources.names import request_name, stem
+from ..sources.relations import values
 
 KEYS = ["model", "prompting_condition", "dataset_variant", "pattern_id"]
 METRICS = ["precision_triple", "recall_triple", "f1_triple", "precision_rule", "recall_rule", "f1_rule"]
@@ -124,6 +126,46 @@ def audit_summary(results: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame, column: str, listed: list[str]) -> DataFrame:
-    """Rows with rank of a listed order; unknown values come after it by name."""
-    at = F.array_position(F.array(*map(F.lit, listed)), F.col(column))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.when(at == 0, len(listed) + 1).otherwise(at), column)))
+    """Rows with rank of a listed order; unknown values come after it by name. Ranks are of the values, which are few, and joined back: no window over the rows."""
+    at = F.coalesce(F.array_position(F.array(*map(F.lit, listed)), F.col(column)), F.lit(0))
+    ranks = rows.select(column).distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.when(at == 0, len(listed) + 1).otherwise(at), F.asc_nulls_last(column))))
+    name = f"__{column}"
+    ranks = ranks.withColumnRenamed(column, name)
+    return rows.join(ranks, F.col(column).eqNullSafe(F.col(name)), "left").drop(name)
+
+
+def by_rules(rows: DataFrame, *first: str) -> DataFrame:
+    """Report order: the given columns, then patterns by number of rules and rule numbers."""
+    return rows.orderBy(*first, rule_order(F.col("pattern_id")))
+
+
+def checked_targets(rows: DataFrame, file: str = "file") -> DataFrame:
+    """rows as they are; the run stops with the file's name at a row without target_empty, or with an empty target."""
+    why = F.when(F.col("target_empty").isNull(), F.concat(F.col(file), F.lit(": a row has no target_empty"))).when(F.col("target_empty"), F.concat(F.col(file), F.lit(": a row has an empty target")))
+    return rows.withColumn("target_empty", F.when(why.isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col("target_empty")))
+
+
+def outcomes(results: DataFrame, kinds: list[str], column: str = "status") -> DataFrame:
+    """How often each kind of outcome came, 0 where it did not."""
+    every = values(results.sparkSession, [(k,) for k in kinds], column)
+    return every.join(results.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def composite_cell(condition: Column, variant: Column) -> Column:
+    """Whether a cell enters a composite metric: full texts on five variants, names on ns."""
+    return F.when(condition.isin("NRP-full", "ARP-full"), variant.isin("rk", "ns", "gs", "gsc", "nsc")).when(condition.isin("NRP-name", "ARP-name"), variant == "ns").otherwise(False)
+
+
+def collected_tokens(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A row for each request file: model, runner, prompting_condition, dataset_variant, pattern_id, n_tasks, input_tokens, output_tokens.
+
+    requests: file, runner, pos (line, blank ones counted), value; the file's folder must not start with "queue". tasks:
+    prompting_condition, dataset_variant, pattern_id, pos, expected_output. A request goes with the task at its place; one
+    without a task has no output tokens.
+    """
+    name = request_name(stem(F.col("file")))
+    rows = requests.where(~F.element_at(F.split("file", "/"), -2).startswith("queue")).select("file", "runner", F.col("pos").cast("long").alias("pos"), "value", name.alias("f")).where("f IS NOT NULL").select("file", "runner", "pos", "value", "f.*")
+    rows = rows.join(tasks.select("prompting_condition", "dataset_variant", "pattern_id", F.col("pos").cast("long").alias("pos"), "expected_output", F.lit(True).alias("__task")), ["prompting_condition", "dataset_variant", "pattern_id", "pos"], "left")
+    out = F.when(F.col("__task"), tokens_estimated(expected_text(F.col("expected_output"), F.col("prompting_condition"), F.col("pattern_id")))).otherwise(0)
+    keys = ["file", "model", "runner", "prompting_condition", "dataset_variant", "pattern_id"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_tasks"), F.sum(tokens_estimated(input_text(F.col("value")))).alias("input_tokens"), F.sum(out).alias("output_tokens"))

@@ -30,24 +30,28 @@ def strict(rows: DataFrame) -> DataFrame:
 def flex(rows: DataFrame, on_error: str = "raise") -> DataFrame:
     """Like strict, but a candidate counts as a triple if its terms stand in order between commas or white space.
 
-    Candidates that match the premise go; what matches a target counts once for the target, the rest once for each
-    normal form. A candidate that matches two targets, or a premise and a target, or a reference triple that can't be
+    Candidates that match the premise go (premise_filtered_candidates has the others as they came); what matches a target
+    counts once for the target, the rest once for each normal form (scored_candidates). A candidate that matches two targets,
+    or a premise and a target, candidates of one normal form that match differently, or a reference triple that can't be
     parsed, is an error: raised, or kept as flex_error (on_error="keep").
     """
-    rows = _targets(rows).withColumn("scored_all", candidates(F.col("model_output")))
-    hits = lambda c, col: F.size(F.filter(col, lambda t: flexible(c, t)))
-    per = F.transform("scored_all", lambda c: F.struct(c.alias("c"), hits(c, F.col("premise_triples")).alias("p"), hits(c, F.col("target_triples")).alias("t"), F.filter("target_triples", lambda t: flexible(c, t)).alias("m"), normal_candidate(c).alias("n")))
-    rows = rows.withColumn("per", per)
-    bad = F.exists("per", lambda x: (x["t"] > 1) | ((x["t"] > 0) & (x["p"] > 0))) | F.exists(F.concat("premise_triples", "target_triples"), lambda t: triple_parts(t).isNull())
+    rows = _targets(rows)
+    spelled = F.transform(candidates(F.col("model_output")), lambda c: F.struct(c.alias("c"), normal_candidate(c).alias("n")))
+    rows = rows.withColumn("__all", spelled)
+    hits = lambda x, col: F.filter(col, lambda t: flexible(x["c"], t, x["n"]))
+    per = F.transform("__all", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n"), F.exists("premise_triples", lambda t: flexible(x["c"], t, x["n"])).alias("p"), hits(x, F.col("target_triples")).alias("m")))
+    rows = rows.withColumn("__per", per).withColumn("__left", F.filter("__per", lambda x: ~x["p"]))
+    bad = F.exists("__per", lambda x: (F.size(x["m"]) > 1) | ((F.size(x["m"]) > 0) & x["p"])) | F.exists(F.concat("premise_triples", "target_triples"), lambda t: triple_parts(t).isNull())
+    forms = F.array_distinct(F.transform("__left", lambda x: x["n"]))
+    bad = bad | (F.size(forms) != F.size(F.array_distinct(F.transform("__left", lambda x: F.struct(x["n"], x["m"])))))
     rows = rows.withColumn("flex_error", bad)
     if on_error == "raise":
         rows = rows.withColumn("flex_error", F.when(F.col("flex_error"), F.raise_error(F.lit("ambiguous or unparsable triples")).cast("boolean")).otherwise(False))
-    left = F.filter("per", lambda x: x["p"] == 0)
-    rows = rows.withColumn("scored_candidates", F.transform(left, lambda x: x["c"]))
-    rows = rows.withColumn("matched_target_triples", F.array_sort(F.array_distinct(F.flatten(F.transform(left, lambda x: x["m"])))))
-    rows = rows.withColumn("unmatched_candidates", F.array_sort(F.array_distinct(F.transform(F.filter(left, lambda x: x["t"] == 0), lambda x: x["n"]))))
+    rows = rows.withColumn("premise_filtered_candidates", F.transform("__left", lambda x: x["c"])).withColumn("scored_candidates", F.array_sort(forms))
+    rows = rows.withColumn("matched_target_triples", F.array_sort(F.array_distinct(F.flatten(F.transform("__left", lambda x: x["m"])))))
+    rows = rows.withColumn("unmatched_candidates", F.array_sort(F.array_distinct(F.transform(F.filter("__left", lambda x: F.size(x["m"]) == 0), lambda x: x["n"]))))
     m, u, e = (F.size(c) for c in ("matched_target_triples", "unmatched_candidates", "target_triples"))
-    rows = rows.drop("per", "scored_all").select("*", *_metrics(m, m + u, e, "triple"))
+    rows = rows.drop("__all", "__per", "__left").select("*", *_metrics(m, m + u, e, "triple"))
     return rows.withColumn("triple_ok", (F.col("precision_triple") == PICO) & (F.col("recall_triple") == PICO))
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import as_kind, deranged, slot_kind
+from ..functions.terms import as_kind, deranged, local_name, property_name, property_of, slot_kind
 from ..plans.bgp import differ, rendered
-from ..plans.patterns import PATTERNS, Pattern
+from ..plans.patterns import LINKED, PATTERNS, Pattern
 
 ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
@@ -19,41 +19,55 @@ def _entries(rows: DataFrame, pattern: Pattern, terms: dict[str, Column], keep:
     return rows.where(whole).select(*keep, rendered(pattern.premise, terms).alias("premise_knowledge"), rendered(pattern.conclusion, terms).alias("expected_output"))
 
 
-def real(rows: DataFrame, pattern: str, keep: list[str] = []) -> DataFrame:
-    p = PATTERNS[pattern]
-    return _entries(rows, p, {s: F.col(s) for s in p.slots}, keep)
+def plain_terms(pattern: str) -> dict[str, Column]:
+    """Rows whose slots hold terms already."""
+    return {s: F.col(s) for s in PATTERNS[pattern].terms}
+
+
+def source_terms(pattern: str, fold: bool = True) -> dict[str, Column]:
+    """Terms of rows of a sample: local names of the slots' URIs. In linked patterns i is that of i_dbp, j and k are made of j_label and k_label; in rdfs5 each property is named by its graph's rule."""
+    out = {s: local_name(F.col(s)) for s in PATTERNS[pattern].terms}
+    if pattern in LINKED:
+        out |= {"i": local_name(F.col("i_dbp"))} | {s: property_name(F.col(f"{s}_label"), fold) for s in "jk" if s in out}
+    if pattern == "rdfs5":
+        out = {s: property_of(F.col(s), F.col(f"{s}_label"), fold) for s in out}
+    return out
 
 
-def _locally(p: Pattern) -> tuple[dict[str, Column], Column]:
+def real(rows: DataFrame, pattern: str, keep: list[str] = [], terms: dict[str, Column] | None = None) -> DataFrame:
+    """Entries as the source has them; rows that lack a term are left out."""
+    return _entries(rows, PATTERNS[pattern], terms or plain_terms(pattern), keep)
+
+
+def _locally(p: Pattern, before: dict[str, Column]) -> tuple[dict[str, Column], Column]:
     """New terms and whether all swaps change something."""
-    terms, ok = {s: F.col(s) for s in p.slots}, F.lit(True)
+    terms, ok = dict(before), F.lit(True)
     for group in p.swaps:
-        new = F.array(F.col(group[1]), F.col(group[0])) if len(group) == 2 else deranged([F.col(s) for s in group])
-        if len(group) == 2:
-            ok = ok & (F.col(group[0]) != F.col(group[1]))
-        else:
+        new = F.array(before[group[1]], before[group[0]]) if len(group) == 2 else deranged([before[s] for s in group])
+        if len(group) > 2:
             ok = ok & new.isNotNull()
         terms |= {s: new[i] for i, s in enumerate(group)}
+    for a, b in p.moved or tuple(g for g in p.swaps if len(g) == 2):
+        ok = ok & (before[a] != before[b])
     return terms, ok
 
 
-def locally_shuffled(rows: DataFrame, pattern: str, keep: list[str] = []) -> DataFrame:
+def locally_shuffled(rows: DataFrame, pattern: str, keep: list[str] = [], terms: dict[str, Column] | None = None) -> DataFrame:
     """Slots of one kind change places; rows where nothing would change are left out."""
     p = PATTERNS[pattern]
-    terms, ok = _locally(p)
-    return _entries(rows.where(ok), p, terms, keep)
+    new, ok = _locally(p, terms or plain_terms(pattern))
+    return _entries(rows.where(ok), p, new, keep)
 
 
-def globally_shuffled(rows: DataFrame, pattern: str, keep: list[str] = [], converted: bool = False) -> DataFrame:
-    """All slots of a row are deranged together; converted spells each term as its new slot's kind. Not for rdfs5 and rdfs11, which have one kind."""
+def globally_shuffled(rows: DataFrame, pattern: str, keep: list[str] = [], converted: bool = False, terms: dict[str, Column] | None = None) -> DataFrame:
+    """All terms of a row are deranged together, in the order of `Pattern.terms`; converted spells each as its new slot's kind. Not for rdfs5 and rdfs11, which have one kind."""
     p = PATTERNS[pattern]
     if pattern in ("rdfs5", "rdfs11"):
         raise ValueError(f"{pattern} has slots of one kind only")
-    moved = rows.withColumn("__d", deranged([F.col(s) for s in p.slots])).where("__d IS NOT NULL")
-    terms = {s: F.col("__d")[i] for i, s in enumerate(p.slots)}
-    if converted:
-        terms = {s: as_kind(t, s) for s, t in terms.items()}
-    return _entries(moved, p, terms, keep)
+    before = terms or plain_terms(pattern)
+    moved = rows.select(*keep, deranged([before[s] for s in p.terms]).alias("__d")).where("__d IS NOT NULL")
+    new = {s: F.col("__d")[i] for i, s in enumerate(p.terms)}
+    return _entries(moved, p, {s: as_kind(t, s) for s, t in new.items()} if converted else new, keep)
 
 
 def _letter(seed: int, slot: str, i: Column, alphabet: str) -> Column:
@@ -76,14 +90,53 @@ def nonsense(spark: SparkSession, pattern: str, n: int = 400, seed: int = 42, ca
 
 
 def random_vocabulary(spark: SparkSession, pattern: str, vocabulary: dict[str, DataFrame], n: int = 400, seed: int = 42) -> DataFrame:
-    """n rows whose slots are drawn from vocabularies (kind -> DataFrame of name), with the pattern's slots kept apart: drawn with a surplus, filtered, cut."""
+    """n rows whose slots are drawn from vocabularies (kind -> DataFrame of name), with the pattern's slots kept apart.
+
+    Names are numbered range by range of their hash, so no task holds a vocabulary. Draws are made with a surplus that doubles
+    until n rows pass; a vocabulary too small for the slots that must differ is an error.
+    """
     p = PATTERNS[pattern]
-    rows = spark.range(4 * n)
-    for s in p.slots:
-        words = vocabulary[slot_kind(s)].select("name").distinct()
-        size = words.count()
-        numbered = words.selectExpr("name", "row_number() OVER (ORDER BY name) - 1 AS at")  # a vocabulary: at most its fetch limit
-        rows = rows.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("id")), F.lit(size)).cast("int")).join(numbered.withColumnRenamed("name", s), "at").drop("at")
-    for c in differ(p.drawn_distinct):
-        rows = rows.where(c)
-    return _entries(rows.orderBy("id").limit(n), p, {s: F.col(s) for s in p.slots}, ["id"])
+    numbered: dict[str, tuple[DataFrame, int]] = {}
+    for kind in dict.fromkeys(map(slot_kind, p.slots)):
+        words = vocabulary[kind].select("name").where("name <> ''").distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(64)))
+        sizes = {r.part: r["count"] for r in words.groupBy("part").count().collect()}  # 64 rows
+        starts, size = {}, 0
+        for part in sorted(sizes):
+            starts[part], size = size, size + sizes[part]
+        need = max([sum(slot_kind(s) == kind for s in g) for g in p.drawn_distinct] + [1])
+        if size < need:
+            raise ValueError(f"{kind}: {size} names for {need} different slots")
+        start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+        numbered[kind] = words.select("name", (start[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1).alias("at")), size
+
+    def drawn(surplus: int) -> DataFrame:
+        rows = spark.range(surplus * n)
+        for s in p.slots:
+            words, size = numbered[slot_kind(s)]
+            rows = rows.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("id")), F.lit(size)).cast("int")).join(words.withColumnRenamed("name", s), "at").drop("at")
+        for c in differ(p.drawn_distinct):
+            rows = rows.where(c)
+        return rows
+
+    surplus = 4
+    while drawn(surplus).limit(n).count() < n:
+        surplus *= 2
+    return _entries(drawn(surplus).orderBy("id").limit(n), p, plain_terms(pattern), ["id"])
+
+
+def label_metadata(rows: DataFrame, conversion: str) -> dict[str, str]:
+    """Whether rows have label columns, and how labels become names."""
+    return {"wikidata_label_conversion": conversion} if any(c.endswith("_label") for c in rows.columns) else {}
+
+
+def build_all(rows: dict[str, DataFrame], vocabulary: dict[str, DataFrame], spark: SparkSession, n: int = 400, linked: bool = True) -> DataFrame:
+    """All variants of all patterns (pattern -> sample rows) as one table: pattern_id, dataset_variant, premise_knowledge, expected_output; what a pattern has no variant for is left out."""
+    out = []
+    for pattern, table in rows.items():
+        terms = {fold: source_terms(pattern, fold) if linked else None for fold in (True, False)}
+        made = {"rk": real(table, pattern, terms=terms[True]), "ls": locally_shuffled(table, pattern, terms=terms[True])}
+        if pattern not in ("rdfs5", "rdfs11"):
+            made |= {v: globally_shuffled(table, pattern, converted=v == "gsc", terms=terms[False]) for v in ("gs", "gsc")}
+        made |= {"ns": nonsense(spark, pattern, n), "nsc": nonsense(spark, pattern, n, cased=True), "rva": random_vocabulary(spark, pattern, vocabulary, n)}
+        out += [d.select(F.lit(pattern).alias("pattern_id"), F.lit(v).alias("dataset_variant"), "premise_knowledge", "expected_output") for v, d in made.items()]
+    return reduce(DataFrame.unionByName, out)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .patterns import DOM, PATTERNS, RAN, SC, SP, TY, Pattern
 
 _SCHEMA = (DOM, RAN, SP, SC)
@@ -27,11 +28,12 @@ def differ(groups: tuple[str, ...]) -> list[Column]:
     return [F.col(g[m]) != F.col(g[n]) for g in groups for m in range(len(g)) for n in range(m + 1, len(g))]
 
 
-def match(triples: DataFrame, pattern: Pattern | str) -> DataFrame:
+def match(triples: DataFrame, pattern: Pattern | str, is_set: bool = False) -> DataFrame:
     """Distinct slot rows of the premise: an inner equi-join for each triple, schema relations first, the facts last.
 
     Joins are not recursive: exactly the listed triples, never a closure. Which side is broadcast is left to the planner,
-    which knows the sizes of the schema relations where they are stored.
+    which knows the sizes of schema relations that are values or stored tables: the facts are then not moved at all. A row's
+    slots name its triples, so rows are distinct where triples are a set (is_set).
     """
     pattern = PATTERNS[pattern] if isinstance(pattern, str) else pattern
     order = sorted(pattern.premise, key=lambda t: t[1] not in _SCHEMA)
@@ -39,7 +41,8 @@ def match(triples: DataFrame, pattern: Pattern | str) -> DataFrame:
     for t in order[1:]:
         nxt = _relation(triples, t)
         out = out.join(nxt, [c for c in nxt.columns if c in out.columns])
-    return reduce(lambda d, c: d.where(c), differ(pattern.distinct), out).select(*pattern.slots).distinct()
+    out = reduce(lambda d, c: d.where(c), differ(pattern.distinct), out).select(*pattern.slots)
+    return out if is_set else out.distinct()
 
 
 def rendered(parts: tuple[tuple[str, str, str], ...], slots=None) -> Column:
@@ -48,10 +51,10 @@ def rendered(parts: tuple[tuple[str, str, str], ...], slots=None) -> Column:
     return F.concat_ws(", ", *[F.concat(F.lit("<"), at(s), F.lit(", "), at(p), F.lit(", "), at(o), F.lit(">")) for s, p, o in parts])
 
 
-def entailed(triples: DataFrame, pattern: Pattern | str) -> DataFrame:
+def entailed(triples: DataFrame, pattern: Pattern | str, is_set: bool = False) -> DataFrame:
     """Slots, premise_knowledge and expected_output of every match."""
     pattern = PATTERNS[pattern] if isinstance(pattern, str) else pattern
-    rows = match(triples, pattern)
+    rows = match(triples, pattern, is_set)
     return rows.select(*rows.columns, rendered(pattern.premise).alias("premise_knowledge"), rendered(pattern.conclusion).alias("expected_output"))
 
 
@@ -62,15 +65,18 @@ def concluded(rows: DataFrame, pattern: Pattern) -> DataFrame:
     return rows.select(F.explode(F.array(*made)).alias("t")).select("t.*").distinct()
 
 
-def closure(pairs: DataFrame, depth: int = 16) -> DataFrame:
-    """The reflexive transitive closure of pairs(s, o), by a join a step until nothing is new or depth is reached."""
+def closure(pairs: DataFrame, doublings: int = 30) -> DataFrame:
+    """The reflexive transitive closure of pairs(s, o).
+
+    Paths are joined to paths, so their length doubles a step; each step is stored, so no plan grows. An error if there is still
+    something new after as many doublings.
+    """
     nodes = pairs.select("s").union(pairs.select("o")).distinct()
-    known = nodes.select("s", F.col("s").alias("o"))
-    new = known
-    for _ in range(depth):
-        step = new.alias("n").join(pairs.alias("e"), F.col("n.o") == F.col("e.s")).select(F.col("n.s").alias("s"), F.col("e.o").alias("o")).distinct()
-        new = step.join(known, ["s", "o"], "left_anti")
-        if new.isEmpty():
-            break
-        known = known.union(new).distinct()
-    return known
+    known = stored(nodes.select("s", F.col("s").alias("o")).union(pairs.select("s", "o")).distinct())
+    size = known.count()
+    for _ in range(doublings):
+        known = stored(known.alias("n").join(known.alias("e"), F.col("n.o") == F.col("e.s")).select(F.col("n.s").alias("s"), F.col("e.o").alias("o")).distinct())
+        before, size = size, known.count()
+        if size == before:
+            return known
+    raise ValueError(f"no end of the hierarchy after {doublings} doublings")

@@ -19,11 +19,22 @@ class Pattern:
     distinct: tuple[str, ...]  # groups of slots that differ in a source row
     swaps: tuple[str, ...]  # a local shuffle: two slots change places, three or more are deranged
     drawn_distinct: tuple[str, ...]  # groups of slots that differ in a randomly drawn row
+    moved: tuple[str, ...] = ()  # pairs of slots that must differ for a local shuffle, where they are not the swaps
 
     @property
     def slots(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(t for s, p, o in self.premise for t in (s, p, o) if len(t) == 1))
 
+    @property
+    def terms(self) -> tuple[str, ...]:
+        """Slots in the order of a row's terms: instances, properties, classes. A global shuffle deranges them in it."""
+        return tuple(t for t in "abijkxyzw" if t in self.slots)
+
+    @property
+    def roles(self) -> tuple[str, ...]:
+        """What each premise triple is: domain, range, subPropertyOf, subClassOf, type or instance."""
+        return tuple("instance" if len(p) == 1 else p.split(":")[1] for _, p, _ in self.premise)
+
     @property
     def n_rules(self) -> int:
         return self.id.count("_") + 1
@@ -37,11 +48,14 @@ def _triples(text: str) -> tuple[tuple[str, str, str], ...]:
     return tuple(out)
 
 
-def _row(id_: str, premise: str, conclusion: str, balance: str, distinct: str, swaps: str, drawn: str) -> Pattern:
-    return Pattern(id_, _triples(premise), _triples(conclusion), tuple(balance), tuple(distinct.split()), tuple(swaps.split()), tuple(drawn.split()))
+def _row(id_: str, premise: str, conclusion: str, balance: str, distinct: str, swaps: str, drawn: str, moved: str = "") -> Pattern:
+    return Pattern(id_, _triples(premise), _triples(conclusion), tuple(balance), tuple(distinct.split()), tuple(swaps.split()), tuple(drawn.split()), tuple(moved.split()))
+
 
+#: Patterns whose property hierarchy comes from another graph than their facts: i stands there by its equivalent, j and k by their labels.
+LINKED = ("rdfs7", "rdfs3_7", "rdfs5_7", "rdfs2_3_7", "rdfs2_5_7", "rdfs3_5_7")
 
-#: Premise; conclusion; balance slots; distinct groups of the source; local shuffle; distinct groups when drawn.
+#: Premise; conclusion; balance slots; distinct groups of the source; local shuffle; distinct groups when drawn; pairs that a local shuffle must find different.
 PATTERNS: dict[str, Pattern] = {
     p.id: p
     for p in (
@@ -59,7 +73,7 @@ PATTERNS: dict[str, Pattern] = {
         _row("rdfs5_7", "i sp j; j sp k; a i b", "i sp k; a j b; a k b", "k", "ab", "ab ijk", "ab ijk"),
         _row("rdfs9_11", "x sc y; y sc z; a ty x", "a ty y; a ty z; x sc z", "z", "xyz", "xyz", "xyz"),
         _row("rdfs2_3_7", "i dom x; i ran y; i sp j; a i b", "a ty x; b ty y; a j b", "xy", "ab xy", "ab ij xy", "ab ij xy"),
-        _row("rdfs2_3_9", "i dom x; i ran y; x sc z; y sc w; a i b", "a ty x; a ty z; b ty y; b ty w", "zw", "ab xyzw", "ab xw zy", "ab xyzw"),
+        _row("rdfs2_3_9", "i dom x; i ran y; x sc z; y sc w; a i b", "a ty x; a ty z; b ty y; b ty w", "zw", "ab xyzw", "ab xw zy", "ab xyzw", "ab yw xz"),
         _row("rdfs2_5_7", "i dom x; i sp j; j sp k; a i b", "a ty x; i sp k; a j b; a k b", "k", "ab", "ab ijk", "ab ijk"),
         _row("rdfs2_9_11", "i dom x; x sc y; y sc z; a i b", "a ty x; a ty y; a ty z; x sc z", "z", "ab xyz", "ab xyz", "ab xyz"),
         _row("rdfs3_5_7", "i ran x; i sp j; j sp k; a i b", "b ty x; i sp k; a j b; a k b", "k", "ab", "ab ijk", "ab ijk"),

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import audit, prompts, reports, sampling, scoring, variants
+from ..operators import audit, evaluate, prompts, reports, sampling, scoring, variants
+from ..sources import linked, sinks
 from ..sources.relations import SCHEMA, subproperty_pairs, triple_view
 from .bgp import closure, concluded, entailed, match
-from .patterns import PATTERNS, SC
+from .patterns import LINKED, PATTERNS, SC
 
 Q = Callable[[SparkSession, str], DataFrame]
 VARIANTS = ["rk", "ls", "gs", "gsc", "ns", "nsc", "rva"]
@@ -23,11 +24,12 @@ _VALUES = ", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in SCHEMA)
 VIEW = f"""WITH schema_triples(s, p, o) AS (VALUES {_VALUES}),
 f(a, i, b) AS (
   SELECT 'Order_' || o_orderkey, 'placedBy', 'Customer_' || o_custkey FROM orders
+  UNION ALL SELECT DISTINCT 'Order_' || l_orderkey, 'containsPart', 'Part_' || l_partkey FROM lineitem
   UNION ALL SELECT DISTINCT 'Order_' || l_orderkey, 'suppliedBy', 'Supplier_' || l_suppkey FROM lineitem
   UNION ALL SELECT 'Customer_' || c_custkey, 'inNation', 'Nation_' || c_nationkey FROM customer
   UNION ALL SELECT 'Supplier_' || s_suppkey, 'inNation', 'Nation_' || s_nationkey FROM supplier
   UNION ALL SELECT 'Nation_' || n_nationkey, 'inRegion', 'Region_' || n_regionkey FROM nation),
-ty(a, x) AS (SELECT 'Customer_' || c_custkey, 'Customer' FROM customer UNION ALL SELECT 'Supplier_' || s_suppkey, 'Supplier' FROM supplier UNION ALL SELECT 'Part_' || p_partkey, 'Part' FROM part),
+ty(a, x) AS (SELECT 'Customer_' || c_custkey, 'Customer' FROM customer UNION ALL SELECT 'Supplier_' || s_suppkey, 'Supplier' FROM supplier UNION ALL SELECT 'Part_' || p_partkey, p_type FROM part),
 dom(i, x) AS (SELECT s, o FROM schema_triples WHERE p = 'rdfs:domain'), ran(i, x) AS (SELECT s, o FROM schema_triples WHERE p = 'rdfs:range'),
 sp(i, j) AS (SELECT s, o FROM schema_triples WHERE p = 'rdfs:subPropertyOf'), sc(x, y) AS (SELECT s, o FROM schema_triples WHERE p = 'rdfs:subClassOf')
 """
@@ -40,7 +42,11 @@ def _list(*parts: str) -> str:
     return " || ', ' || ".join(parts)
 
 
+_TABLES: list[str] = []  # of the patterns in order
+
+
 def _sql(premise: str, conclusion: str, tables: str) -> str:
+    _TABLES.append(tables)
     return f"{VIEW} SELECT DISTINCT {premise} AS premise_knowledge, {conclusion} AS expected_output FROM {tables}"
 
 
@@ -86,7 +92,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _entailed(pattern: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entailed(triple_view(spark, sf_dir), pattern).select("premise_knowledge", "expected_output")
+    return entailed(triple_view(spark, sf_dir), pattern, is_set=True).select("premise_knowledge", "expected_output")
 
 
 for _n, _p in enumerate(PATTERNS, 1):
@@ -95,12 +101,12 @@ for _n, _p in enumerate(PATTERNS, 1):
 
 @query("e_concluded_rdfs3_9", f"{VIEW} SELECT DISTINCT f.b AS s, 'rdf:type' AS p, u.o FROM f JOIN ran USING (i) JOIN sc ON sc.x = ran.x, LATERAL (SELECT unnest([ran.x, sc.y]) AS o) u WHERE f.a <> f.b AND sc.x <> sc.y")
 def concluded_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concluded(match(triple_view(spark, sf_dir), "rdfs3_9"), PATTERNS["rdfs3_9"])
+    return concluded(match(triple_view(spark, sf_dir), "rdfs3_9", True), PATTERNS["rdfs3_9"])
 
 
 @query("t1_subclass_closure", VIEW.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(s, o) AS (SELECT x, x FROM sc UNION SELECT y, y FROM sc UNION SELECT r.s, sc.y FROM r JOIN sc ON r.o = sc.x) SELECT s, o FROM r")
 def subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(s, o) for s, p, o in SCHEMA if p == SC], "s string, o string")
+    pairs = triple_view(spark, sf_dir).where(F.col("p") == SC).select("s", "o")
     return closure(pairs)
 
 
@@ -109,7 +115,7 @@ _WITH_X = f"{VIEW} SELECT premise_knowledge, expected_output FROM (SELECT *, row
 
 @query("o1_balanced_sample", _WITH_X)
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entailed(triple_view(spark, sf_dir), "rdfs2")
+    rows = entailed(triple_view(spark, sf_dir), "rdfs2", is_set=True)
     return sampling.balanced(rows, ["x"], ["premise_knowledge"], 400).select("premise_knowledge", "expected_output")
 
 
@@ -121,28 +127,108 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v2_local_shuffle_rdfs7", f"{VIEW} SELECT DISTINCT {_list(_P.format('sp.j', 'sp.i'), _I.format('f.b', 'sp.j', 'f.a'))} AS premise_knowledge, {_I.format('f.b', 'sp.i', 'f.a')} AS expected_output FROM f JOIN sp USING (i) WHERE f.a <> f.b AND f.i <> sp.j")
 def local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs7"), "rdfs7")
+    return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs7", True), "rdfs7")
 
 
 @query("v2_local_shuffle_rdfs11", f"{VIEW} SELECT {_list(_C.format('sc.y', 'q.y'), _C.format('q.y', 'sc.x'))} AS premise_knowledge, {_C.format('sc.y', 'sc.x')} AS expected_output FROM sc JOIN sc q ON sc.y = q.x WHERE sc.x <> sc.y AND sc.y <> q.y AND sc.x <> q.y")
 def local_shuffle_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs11"), "rdfs11")
+    return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs11", True), "rdfs11")
+
+
+# --- variants of all patterns: slots by hand, new terms by hand, compared by counts and sums of hashes ---
+
+#: What each slot is in the relations of the pattern's query.
+SLOTS = {
+    "rdfs2": "a=f.a b=f.b i=f.i x=dom.x", "rdfs3": "a=f.a b=f.b i=f.i x=ran.x", "rdfs5": "i=sp.i j=sp.j k=q.j", "rdfs7": "a=f.a b=f.b i=f.i j=sp.j", "rdfs9": "a=ty.a x=ty.x y=sc.y", "rdfs11": "x=sc.x y=sc.y z=q.y",
+    "rdfs2_3": "a=f.a b=f.b i=f.i x=dom.x y=ran.x", "rdfs2_7": "a=f.a b=f.b i=f.i j=sp.j x=dom.x", "rdfs2_9": "a=f.a b=f.b i=f.i x=dom.x y=sc.y", "rdfs3_7": "a=f.a b=f.b i=f.i j=sp.j x=ran.x", "rdfs3_9": "a=f.a b=f.b i=f.i x=ran.x y=sc.y",
+    "rdfs5_7": "a=f.a b=f.b i=f.i j=sp.j k=q.j", "rdfs9_11": "a=ty.a x=ty.x y=sc.y z=q.y", "rdfs2_3_7": "a=f.a b=f.b i=f.i j=sp.j x=dom.x y=ran.x", "rdfs2_3_9": "a=f.a b=f.b i=f.i x=dom.x y=ran.x z=sc.y w=q.y",
+    "rdfs2_5_7": "a=f.a b=f.b i=f.i j=sp.j k=q.j x=dom.x", "rdfs2_9_11": "a=f.a b=f.b i=f.i x=dom.x y=sc.y z=q.y", "rdfs3_5_7": "a=f.a b=f.b i=f.i j=sp.j k=q.j x=ran.x", "rdfs3_9_11": "a=f.a b=f.b i=f.i x=ran.x y=sc.y z=q.y",
+}
+#: A local shuffle: the slot that each takes its term from, and what must differ.
+LOCAL = {
+    "rdfs2": ("a=b b=a", "ab"), "rdfs3": ("a=b b=a", "ab"), "rdfs5": ("i=j j=k k=i", "ij jk ki"), "rdfs7": ("a=b b=a i=j j=i", "ab ij"), "rdfs9": ("x=y y=x", "xy"), "rdfs11": ("x=y y=z z=x", "xy yz zx"),
+    "rdfs2_3": ("a=b b=a x=y y=x", "ab xy"), "rdfs2_7": ("a=b b=a i=j j=i", "ab ij"), "rdfs2_9": ("a=b b=a x=y y=x", "ab xy"), "rdfs3_7": ("a=b b=a i=j j=i", "ab ij"), "rdfs3_9": ("a=b b=a x=y y=x", "ab xy"),
+    "rdfs5_7": ("a=b b=a i=j j=k k=i", "ab ij jk ki"), "rdfs9_11": ("x=y y=z z=x", "xy yz zx"), "rdfs2_3_7": ("a=b b=a i=j j=i x=y y=x", "ab ij xy"), "rdfs2_3_9": ("a=b b=a x=w z=y y=z w=x", "ab yw xz"),
+    "rdfs2_5_7": ("a=b b=a i=j j=k k=i", "ab ij jk ki"), "rdfs2_9_11": ("a=b b=a x=y y=z z=x", "ab xy yz zx"), "rdfs3_5_7": ("a=b b=a i=j j=k k=i", "ab ij jk ki"), "rdfs3_9_11": ("a=b b=a x=y y=z z=x", "ab xy yz zx"),
+}
+
+
+def _pairs(text: str) -> dict[str, str]:
+    return dict(x.split("=") for x in text.split())
+
+
+def _spelled_sql(term: str, slot: str) -> str:
+    words = f"list_transform(regexp_extract_all({term}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w, i: {{}})"
+    big = "upper(w[1]) || lower(w[2:])"
+    joined = lambda each, by: f"list_aggregate({words.format(each)}, 'string_agg', '{by}')"
+    return joined(big, "_") if slot in "ab" else joined(f"CASE WHEN i = 1 THEN lower(w) ELSE {big} END", "") if slot in "ijk" else joined(big, "")
+
+
+def _variant_sql(pattern: str, variant: str) -> str:
+    n, p = list(PATTERNS).index(pattern), PATTERNS[pattern]
+    base = f"(SELECT DISTINCT {', '.join(f'{e} AS {t}' for t, e in _pairs(SLOTS[pattern]).items())} FROM {_TABLES[n]})"
+    if variant == "rk":
+        new, differ = {}, []
+    elif variant == "ls":
+        new, differ = _pairs(LOCAL[pattern][0]), LOCAL[pattern][1].split()
+    else:  # each term takes the place of the one before it in the order of terms
+        order = [t for t in "abijkxyzw" if t in _pairs(SLOTS[pattern])]
+        new = dict(zip(order, order[1:] + order[:1]))
+        differ = [a + b for a, b in new.items()]
+    term = lambda t: (_spelled_sql(new.get(t, t), t) if variant == "gsc" else new.get(t, t)) if len(t) == 1 else f"'{t}'"
+    shown = lambda triples: _list(*[" || ".join(["'<'", term(s), "', '", term(q), "', '", term(o), "'>'"]) for s, q, o in triples])
+    where = " AND ".join(f"{d[0]} <> {d[1]}" for d in differ) or "true"
+    return f"SELECT '{pattern}' AS pattern_id, {shown(p.premise)} AS pk, {shown(p.conclusion)} AS eo FROM {base} WHERE {where}"
+
+
+def _variants_sql(variant: str) -> str:
+    every = " UNION ALL ".join(_variant_sql(p, variant) for p in PATTERNS if variant in ("rk", "ls") or p not in ("rdfs5", "rdfs11"))
+    return f"{VIEW} SELECT pattern_id, count(*) AS n, CAST(sum(('0x' || substr(md5(pk || chr(10) || eo), 1, 8))::BIGINT) AS BIGINT) AS check_sum FROM ({every}) GROUP BY pattern_id"
+
+
+def _summed(entries: DataFrame, pattern: str) -> DataFrame:
+    digits = F.substring(F.md5(F.concat_ws("\n", "premise_knowledge", "expected_output").cast("binary")), 1, 8)
+    return entries.agg(F.lit(pattern).alias("pattern_id"), F.count("*").alias("n"), F.sum(F.conv(digits, 16, 10).cast("long")).alias("check_sum"))
+
+
+def _all_patterns(make: Callable[[DataFrame, str], DataFrame], spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> DataFrame:
+    triples = triple_view(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [_summed(make(match(triples, p, True), p), p) for p in PATTERNS if p not in without])
+
+
+@query("v1_real_all", _variants_sql("rk"))
+def all_real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms from IRIs, as samples have them: local names, and labels where a pattern wants them."""
 
+    def made(rows: DataFrame, p: str) -> DataFrame:
+        iri = lambda t: F.concat(F.lit("http://dbpedia.org/" + ("resource/" if t in "ab" else "ontology/")), F.col(t)).alias(t)
+        wide = rows.select(*[iri(t) for t in PATTERNS[p].terms], *([F.concat(F.lit("http://dbpedia.org/ontology/"), "i").alias("i_dbp")] if p in LINKED else []), *[F.regexp_replace(t, "([A-Z])", " $1").alias(f"{t}_label") for t in PATTERNS[p].terms if t in "ijk"])
+        return variants.real(wide, p, terms=variants.source_terms(p))
 
-@query("v3_global_shuffle_rdfs2", f"{VIEW} SELECT DISTINCT {_list(_D.format('dom.x', 'f.a'), _I.format('f.b', 'dom.x', 'f.i'))} AS premise_knowledge, {_T.format('f.b', 'f.a')} AS expected_output FROM f JOIN dom USING (i) WHERE f.a <> f.b")
-def global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.globally_shuffled(match(triple_view(spark, sf_dir), "rdfs2"), "rdfs2")
+    return _all_patterns(made, spark, sf_dir)
 
 
-@query("v4_global_shuffle_converted_rdfs2")
-def global_shuffle_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.globally_shuffled(match(triple_view(spark, sf_dir), "rdfs2"), "rdfs2", converted=True)
+@query("v2_local_shuffle_all", _variants_sql("ls"))
+def all_local_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_patterns(variants.locally_shuffled, spark, sf_dir)
+
+
+@query("v3_global_shuffle_all", _variants_sql("gs"))
+def all_global_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_patterns(variants.globally_shuffled, spark, sf_dir, ("rdfs5", "rdfs11"))
+
+
+@query("v4_global_shuffle_converted_all", _variants_sql("gsc"))
+def all_converted_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_patterns(partial(variants.globally_shuffled, converted=True), spark, sf_dir, ("rdfs5", "rdfs11"))
 
 
 @query("v5_nonsense_rdfs2_3_9", "SELECT CAST(400 AS BIGINT) AS n, CAST(400 AS BIGINT) AS n_with_five_triples")
 def nonsense(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = variants.nonsense(spark, "rdfs2_3_9")
-    return rows.agg(F.count("*").alias("n"), F.sum((F.size(terms.candidates(F.col("premise_knowledge"))) == 5).cast("long")).alias("n_with_five_triples"))
+    token = "[a-zA-Z0-9]{8}"
+    whole = f"^<{token}, rdfs:domain, {token}>, <{token}, rdfs:range, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, {token}, {token}>$"
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(whole).cast("long")).alias("n_with_five_triples"))
 
 
 @query("v6_nonsense_cased_rdfs7", "SELECT CAST(400 AS BIGINT) AS n")
@@ -209,20 +295,66 @@ def schema_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- prompts and tasks ---
 
 
-def _frames_sql() -> str:
+# The prompts around a premise, written out for rdfs9 and rdfs2_3.
+_NOTE = "Note: The variable names used in {} (e.g., a, b, i, j, k, X, Y, Z, W) are placeholders and do not represent actual classes, properties, or instances. They are used solely for describing the rule structure. "
+_ENCLOSE = 'Enclose each triple in "<" and ">". Never use the "http://" format in the triple. '
+_SELECT = "Solely based on these rules and the premise knowledge, output the inferred RDFS triples by selecting and combining these rules as necessary. " + _ENCLOSE
+_COMBINE = "Solely based on these rules and the premise knowledge, output the inferred RDFS triples by combining these rules. " + _ENCLOSE
+_ALONE = "Solely based on this rule and the premise knowledge, output the inferred RDFS triples. " + _ENCLOSE
+_END = "Output all triples that can be derived from these rules and do not include any additional text or descriptions."
+_END_ALONE = "Output all triples that can be derived from this rule and do not include any additional text or descriptions."
+_NAMES = 'At the end of your response, list all rule names you used in the format: [used_rules: rdfsN, ...]. Replace N with the actual rule numbers you applied. Enclose the list in "[" and "]", use the exact key name "used_rules:", and separate each rule name with a comma. Use only rule names from the following list: rdfs2, rdfs3, rdfs5, rdfs7, rdfs9, rdfs11. '
+_LETTERS = 'At the end of your response, list all rule names you used in the format: [used_rules: ruleX, ...]. Replace X with the actual rule letters you applied (e.g., ruleA, ruleB, ruleC). Enclose the list in "[" and "]", use the exact key name "used_rules:", and separate each rule name with a comma. Use only rule names from ruleA to ruleF. '
+_BUT = " The only exception is the [used_rules: ...] line at the end of your response."
+_RULE9 = "if <X, rdfs:subClassOf, Y> and <a, rdf:type, X> then <a, rdf:type, Y>"
+_RULE2 = "if <i, rdfs:domain, X> and <a, i, b> then <a, rdf:type, X>"
+_RULE3 = "if <i, rdfs:range, X> and <a, i, b> then <b, rdf:type, X>"
+_ALL_RULES = (_RULE2, _RULE3, "if <i, rdfs:subPropertyOf, j> and <j, rdfs:subPropertyOf, k> then <i, rdfs:subPropertyOf, k>", "if <i, rdfs:subPropertyOf, j> and <a, i, b> then <a, j, b>", _RULE9, "if <X, rdfs:subClassOf, Y> and <Y, rdfs:subClassOf, Z> then <X, rdfs:subClassOf, Z>")
+_G1, _GN, _PK = "Given the following rule and premise knowledge:\n", "Given the following rules and premise knowledge:\n", "\nPremise Knowledge: "
+_ARP = {
+    "ARP-full": (_GN + "Rules:\n" + "\n".join(f"{n}: {r}" for n, r in zip(("rdfs2", "rdfs3", "rdfs5", "rdfs7", "rdfs9", "rdfs11"), _ALL_RULES)) + _PK, "\n" + _NOTE.format("these rules") + _SELECT + _NAMES + _END + _BUT),
+    "ARP-name": (_GN + "Rules: rdfs2, rdfs3, rdfs5, rdfs7, rdfs9, rdfs11" + _PK, "\n" + _SELECT + _NAMES + _END + _BUT),
+    "ARP-def": (_GN + "Rules:\n" + "\n".join(f"rule{n}: {r}" for n, r in zip("ABCDEF", _ALL_RULES)) + _PK, "\n" + _NOTE.format("these rules") + _SELECT + _LETTERS + _END + _BUT),
+}
+PROMPTS = {
+    "rdfs9": _ARP
+    | {
+        "NRP-full": (_G1 + "Rule:\nrdfs9: " + _RULE9 + _PK, "\n" + _NOTE.format("the rule") + _ALONE + _END_ALONE),
+        "NRP-name": (_G1 + "Rule: rdfs9" + _PK, "\n" + _ALONE + _END_ALONE),
+        "NRP-def": (_G1 + "Rule: " + _RULE9 + _PK, "\n" + _NOTE.format("the rule") + _ALONE + _END_ALONE),
+    },
+    "rdfs2_3": _ARP
+    | {
+        "NRP-full": (_GN + "Rules:\nrdfs2: " + _RULE2 + "\nrdfs3: " + _RULE3 + _PK, "\n" + _NOTE.format("these rules") + _COMBINE + _END),
+        "NRP-name": (_GN + "Rules: rdfs2, rdfs3" + _PK, "\n" + _COMBINE + _END),
+        "NRP-def": (_GN + "Rules:\n" + _RULE2 + "\n" + _RULE3 + _PK, "\n" + _NOTE.format("these rules") + _COMBINE + _END),
+    },
+}
+
+
+def _tasks_sql(pattern: str) -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(c)}, {quote(prompts.frame(c, 'rdfs9')[0])}, {quote(prompts.frame(c, 'rdfs9')[1])})" for c in prompts.CONDITIONS)
-    return f"{VIEW}, fr(prompting_condition, head, tail) AS (VALUES {rows}), e AS (SELECT premise_knowledge, row_number() OVER (ORDER BY premise_knowledge) - 1 AS pos FROM ({ENTAILMENT_SQL['rdfs9'][len(VIEW):]}))"
+    rows = ", ".join(f"({quote(c)}, {quote(head)}, {quote(tail)})" for c, (head, tail) in PROMPTS[pattern].items())
+    return f"{VIEW}, fr(prompting_condition, head, tail) AS (VALUES {rows}), e AS (SELECT premise_knowledge, row_number() OVER (ORDER BY premise_knowledge) - 1 AS pos FROM ({ENTAILMENT_SQL[pattern][len(VIEW):]})) SELECT prompting_condition, 'request-' || (pos + 1) AS task_id, head || premise_knowledge || tail AS user_prompt FROM e, fr WHERE pos < 400"
 
 
-@query("r11_tasks_rdfs9", _frames_sql() + " SELECT prompting_condition, 'request-' || (pos + 1) AS task_id, head || premise_knowledge || tail AS user_prompt FROM e, fr WHERE pos < 400")
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.balanced(entailed(triple_view(spark, sf_dir), "rdfs9").withColumn("one", F.lit(1)), ["one"], ["premise_knowledge"], 400)
-    rows = rows.selectExpr("'rdfs9' AS pattern_id", "CAST(row_number() OVER (ORDER BY premise_knowledge) - 1 AS BIGINT) AS pos", "premise_knowledge", "expected_output")  # 400 rows
+def _tasks(pattern: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.balanced(entailed(triple_view(spark, sf_dir), pattern, is_set=True).withColumn("one", F.lit(1)), ["one"], ["premise_knowledge"], 400)
+    rows = rows.selectExpr(f"'{pattern}' AS pattern_id", "CAST(row_number() OVER (ORDER BY premise_knowledge) - 1 AS BIGINT) AS pos", "premise_knowledge", "expected_output")  # 400 rows
     return prompts.tasks(rows).select("prompting_condition", "task_id", "user_prompt")
 
 
-@query("r12_requests", "SELECT p_partkey, '{\"id\":\"request-' || p_partkey || '\",\"model\":\"m\",\"input\":\"' || p_name || '\",\"system\":\"You are a helpful assistant.\"}' AS line FROM part")
+for _p in PROMPTS:
+    query(f"r11_tasks_{_p}", _tasks_sql(_p))(partial(_tasks, _p))
+
+
+@query("r12_batch_requests", "SELECT p_partkey, '{\"custom_id\":\"request-' || p_partkey || '\",\"method\":\"POST\",\"url\":\"/v1/chat/completions\",\"body\":{\"model\":\"m\",\"messages\":[{\"role\":\"system\",\"content\":\"You are a helpful assistant.\"},{\"role\":\"user\",\"content\":\"' || p_name || '\"}],\"temperature\":0.0}}' AS line FROM part")
+def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "concat('request-', p_partkey) AS task_id", "p_name AS user_prompt", f"'{prompts.SYSTEM}' AS system_prompt")
+    return rows.select("p_partkey", prompts.batch_request("m", temperature=0.0).alias("line"))
+
+
+@query("r13_requests", "SELECT p_partkey, '{\"id\":\"request-' || p_partkey || '\",\"model\":\"m\",\"input\":\"' || p_name || '\",\"system\":\"You are a helpful assistant.\"}' AS line FROM part")
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "concat('request-', p_partkey) AS task_id", "p_name AS user_prompt", f"'{prompts.SYSTEM}' AS system_prompt")
     return rows.select("p_partkey", prompts.sequential_request("m", True).alias("line"))
@@ -350,14 +482,157 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audit ---
 
 
-@query("c8_audit_local_shuffle", f"{VIEW}, t(s, p, o) AS (SELECT a, i, b FROM f UNION SELECT a, 'rdf:type', x FROM ty UNION SELECT s, p, o FROM schema_triples), e AS (SELECT DISTINCT f.a, f.b, f.i, sp.j FROM f JOIN sp USING (i) WHERE f.a <> f.b AND f.i <> sp.j), u AS (SELECT a, b, i, j, j AS s, 'rdfs:subPropertyOf' AS p, i AS o FROM e UNION ALL SELECT a, b, i, j, b, j, a FROM e) SELECT u.a || ' ' || u.i || ' ' || u.j || ' ' || u.b AS entry, count(*) AS n_triples, count(t.s) AS n_found, CASE WHEN count(t.s) > 0 THEN 'present' ELSE 'absent' END AS verdict FROM u LEFT JOIN t USING (s, p, o) GROUP BY ALL")
-def audit_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _iris(rows: DataFrame, pattern: str) -> DataFrame:
+    """Slot rows as a source's: `source` and an IRI for each slot."""
+    iri = lambda t: F.concat(F.lit("http://dbpedia.org/" + ("resource/" if t in "ab" else "ontology/")), F.col(t)).alias(t)
+    return rows.select(F.concat_ws(" ", *PATTERNS[pattern].terms).alias("source"), *[iri(t) for t in PATTERNS[pattern].terms])
+
+
+def _graph(triples: DataFrame) -> DataFrame:
+    """The triple view with IRIs."""
+    thing, kind = (lambda c: F.concat(F.lit("http://dbpedia.org/resource/"), F.col(c))), (lambda c: F.concat(F.lit("http://dbpedia.org/ontology/"), F.col(c)))
+    known = F.create_map(*[F.lit(x) for r, u in audit.HERE.items() for x in (f"rdf:{r}" if r == "type" else f"rdfs:{r}", u)])[F.col("p")]
+    role = audit.role_of(F.col("p"))
+    return triples.select(F.when(role.isin("instance", "type"), thing("s")).otherwise(kind("s")).alias("s"), F.coalesce(known, kind("p")).alias("p"), F.when(role == "instance", thing("o")).otherwise(kind("o")).alias("o"))
+
+
+def _no_identities(spark: SparkSession) -> DataFrame:
+    return spark.range(0).selectExpr("'' AS s", "'' AS o")
+
+
+_T = f"{VIEW}, t(s, p, o) AS (SELECT a, i, b FROM f UNION SELECT a, 'rdf:type', x FROM ty UNION SELECT s, p, o FROM schema_triples)"
+
+
+@query("c5_presence_local_shuffle", f"{_T}, e AS (SELECT DISTINCT f.a, f.b, f.i, sp.j FROM f JOIN sp USING (i) WHERE f.a <> f.b AND f.i <> sp.j), u AS (SELECT a, b, i, j, j AS s, 'rdfs:subPropertyOf' AS p, i AS o FROM e UNION ALL SELECT a, b, i, j, b, j, a FROM e) SELECT u.a || ' ' || u.i || ' ' || u.j || ' ' || u.b AS entry, count(*) AS n_triples, count(t.s) AS n_found, CASE WHEN count(t.s) > 0 THEN 'present' ELSE 'absent' END AS verdict FROM u LEFT JOIN t USING (s, p, o) GROUP BY ALL")
+def presence_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples = triple_view(spark, sf_dir)
-    rows = match(triples, "rdfs7").withColumn("entry", F.concat_ws(" ", "a", "i", "j", "b"))
+    rows = match(triples, "rdfs7", True).withColumn("entry", F.concat_ws(" ", "a", "i", "j", "b"))
     shuffled = variants.locally_shuffled(rows, "rdfs7", ["entry"])
     return audit.verdicts(audit.present(shuffled, triples, ["entry"]), ["entry"])
 
 
+@query("c6_verdicts_global_shuffle", f"{VIEW} " + " UNION ALL ".join(f"SELECT '{p}' AS pattern_id, '{v}' AS verdict, count(*) AS n FROM (SELECT DISTINCT {', '.join(_pairs(SLOTS[p]).values())} FROM {_TABLES[list(PATTERNS).index(p)]})" for p, v in (("rdfs2", "structural"), ("rdfs9_11", "present"), ("rdfs2_9", "structural"))))
+def verdicts_global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a shuffled row find their source, and its triples of fitting kinds are asked: in rdfs9_11 the hierarchy's second edge takes the first one's place."""
+    triples, out = triple_view(spark, sf_dir), []
+    for p in ("rdfs2", "rdfs9_11", "rdfs2_9"):
+        rows = match(triples, p, True)
+        entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", *PATTERNS[p].terms)), p, ["entry"])
+        bound = audit.resolved(entries, _iris(rows, p), p, ["entry"])
+        answers = audit.answered(audit.classified(bound, p, ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
+        out.append(audit.judged(answers, ["entry"]).groupBy(F.lit(p).alias("pattern_id"), "verdict").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("c7_verdicts_converted_shuffle", f"{VIEW} SELECT 'present' AS verdict, count(*) AS n, CAST(count(*) * 3 AS BIGINT) AS n_triples FROM (SELECT DISTINCT {', '.join(_pairs(SLOTS['rdfs9_11']).values())} FROM {_TABLES[list(PATTERNS).index('rdfs9_11')]} AND starts_with(ty.a, 'Supplier'))")
+def verdicts_converted_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triples = triple_view(spark, sf_dir)
+    rows = match(triples, "rdfs9_11", True).where("a LIKE 'Supplier%'")
+    entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", "a", "x", "y", "z")), "rdfs9_11", ["entry"], converted=True)
+    ways = audit.interpretations(entries, _iris(rows, "rdfs9_11"), "rdfs9_11", ["entry"])
+    answers = audit.answered(audit.classified(ways, "rdfs9_11", ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
+    return audit.judged(answers, ["entry"]).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_triples").alias("n_triples"))
+
+
+@query("c8_audit_local_shuffle", f"{_T}, e AS (SELECT DISTINCT f.a, f.b, f.i, dom.x, sc.y FROM f JOIN dom USING (i) JOIN sc ON sc.x = dom.x WHERE f.a <> f.b AND dom.x <> sc.y), u AS (SELECT a, b, i, x, y, i AS s, 'rdfs:domain' AS p, y AS o FROM e UNION ALL SELECT a, b, i, x, y, y, 'rdfs:subClassOf', x FROM e UNION ALL SELECT a, b, i, x, y, b, i, a FROM e) SELECT u.a || ' ' || u.b || ' ' || u.i || ' ' || u.x || ' ' || u.y AS source, count(*) AS n_triples, count(*) AS n_compatible, count(t.s) AS n_found, CASE WHEN count(t.s) > 0 THEN 'present' ELSE 'absent' END AS verdict FROM u LEFT JOIN t USING (s, p, o) GROUP BY ALL")
+def audit_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that the shuffle made, names looked up in the entry's own source, asked in the graph."""
+    triples = triple_view(spark, sf_dir)
+    rows = match(triples, "rdfs2_9", True).withColumn("source", F.concat_ws(" ", *PATTERNS["rdfs2_9"].terms))
+    changed = audit.induced(variants.locally_shuffled(rows, "rdfs2_9", ["source"]), variants.real(rows, "rdfs2_9", ["source"]), ["source"])
+    asks = audit.induced_asks(changed, _iris(rows, "rdfs2_9"), "rdfs2_9", ["source"])
+    return audit.judged(audit.answered(asks, _graph(triples), _no_identities(spark), ["source"]), ["source"])
+
+
+@query("c9_verdicts_vocabulary", "SELECT CASE WHEN p_partkey % 5 = 4 THEN 'error' WHEN p_partkey % 5 < 2 THEN 'present' ELSE 'absent' END AS verdict, count(*) AS n FROM part GROUP BY ALL")
+def verdicts_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises of rdfs9 from the parts: a true type, a true subclass, neither, or one triple too few."""
+    triples = triple_view(spark, sf_dir)
+    lines = {0: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, ', p_type, '>')", 1: "concat('<Order, rdfs:subClassOf, Document>, <Part_', p_partkey, ', rdf:type, Order>')", 2: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, Order>')", 3: "concat('<(a b), rdfs:subClassOf, c>, <Part_', p_partkey, ', rdf:type, (a b)>')"}
+    text = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {e}" for k, e in lines.items()) + " ELSE concat('<Part_', p_partkey, ', rdf:type, ', p_type, '>') END"
+    entries = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{text} AS premise_knowledge")
+    answers = audit.answered(audit.vocabulary_asks(entries, "rdfs9", ["p_partkey"]), _graph(triples), _no_identities(spark), ["p_partkey"])
+    return audit.judged(answers, ["p_partkey"]).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+# --- several graphs, files of responses ---
+
+
+@query("j2_hierarchy_facts", "WITH h(i, j) AS (SELECT 'http://www.wikidata.org/entity/P' || n_nationkey, 'http://www.wikidata.org/entity/P' || (100 + n_regionkey) FROM nation), q(i, d) AS (SELECT 'http://www.wikidata.org/entity/P' || n_nationkey, 'http://dbpedia.org/ontology/p' || (n_nationkey % 7) FROM nation WHERE n_nationkey % 3 > 0), t(a, d, b) AS (SELECT 'http://dbpedia.org/resource/O' || o_orderkey, 'http://dbpedia.org/ontology/p' || (o_orderkey % 9), 'http://dbpedia.org/resource/' || CASE WHEN o_orderkey % 10 = 0 THEN 'O' || o_orderkey ELSE 'C' || o_custkey END FROM orders) SELECT a, b, h.i, d AS i_dbp, j FROM h JOIN q USING (i) JOIN t USING (d) WHERE a <> b")
+def hierarchy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "orders"))
+    h = n.selectExpr("concat('http://www.wikidata.org/entity/P', n_nationkey) AS child", "n_name AS child_label", "concat('http://www.wikidata.org/entity/P', 100 + n_regionkey) AS parent", "CAST(NULL AS STRING) AS parent_label")
+    q = n.selectExpr("concat('http://www.wikidata.org/entity/P', n_nationkey) AS property", "CASE WHEN n_nationkey % 3 > 0 THEN concat('http://dbpedia.org/ontology/p', n_nationkey % 7) ELSE concat('https://schema.org/p', n_nationkey) END AS equivalent")
+    t = o.selectExpr("concat('http://dbpedia.org/resource/O', o_orderkey) AS s", "concat('http://dbpedia.org/ontology/p', o_orderkey % 9) AS p", "concat('http://dbpedia.org/resource/', CASE WHEN o_orderkey % 10 = 0 THEN concat('O', o_orderkey) ELSE concat('C', o_custkey) END) AS o")
+    return linked.hierarchy_facts(h, linked.equivalents(q), t).select("a", "b", "i", "i_dbp", "j")
+
+
+@query("s4_equivalences", "SELECT 'q' || (p_size % 11) AS local, arg_max('http://www.wikidata.org/entity/P' || (p_partkey % 97), p_partkey) AS property, arg_max(p_name, p_partkey) AS label FROM part WHERE p_partkey % 5 > 0 GROUP BY p_size % 11")
+def equivalences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS pos", "concat('http://www.wikidata.org/entity/P', p_partkey % 97) AS property", "p_name AS label", "concat(CASE WHEN p_partkey % 5 > 0 THEN 'https://schema.org/' ELSE 'http://dbpedia.org/ontology/' END, 'q', p_size % 11, '/') AS equivalent")
+    return linked.schema_equivalences(rows)[0]
+
+
+@query("s6_vocabulary", "SELECT DISTINCT 'c' || c_nationkey AS name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 > 0")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat(CASE WHEN c_custkey % 7 > 0 THEN 'http://dbpedia.org/resource/' ELSE 'http://other.example/' END, 'c', c_nationkey) AS iri", "c_name AS label", "CASE WHEN c_custkey % 3 = 0 THEN 'en' ELSE 'de' END AS lang")
+    arabic = rows.limit(1).selectExpr("'http://dbpedia.org/resource/\u0628\u064a\u062a' AS iri", "label", "'en' AS lang")
+    return linked.vocabulary(rows.unionByName(arabic), linked.RESOURCE)
+
+
+_FILES = "CASE WHEN o_orderkey % 5 = 4 THEN 'no_task' WHEN o_orderkey % 5 = 3 THEN 'error' ELSE 'written' END"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers in five files by the order's number: of the third some ids have no task, the fourth has no task file."""
+    base = _answers(spark, sf_dir).where("k % 7 <> 6")
+    tasks = base.where("k % 5 < 4").selectExpr("concat('t', k % 5) AS task_key", "'ARP-full' AS prompting_condition", "'rk' AS dataset_variant", "'rdfs2_7' AS pattern_id", "rules", "CAST(k AS INT) AS pos", "concat('request-', k) AS task_id", "premise_knowledge", "expected_output").where("task_key <> 't3' OR pos % 2 = 0")
+    responses = base.selectExpr("concat('response__m__', k % 5) AS file", "CAST(k AS INT) AS pos", "concat('t', k % 5) AS task_key", "'m' AS model", "concat('request-', k) AS task_id", "model_output")
+    rows, lost = evaluate.paired(responses, tasks)
+    done = evaluate.scored(rows)
+    return done, evaluate.outcome(done, lost)
+
+
+@query("a15_outcomes", f"SELECT status, CAST(count(DISTINCT o_orderkey % 5) AS BIGINT) AS n FROM (SELECT o_orderkey, {_FILES} AS status FROM orders WHERE o_orderkey % 7 <> 6) GROUP BY status UNION ALL SELECT 'skipped_exists', 0")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.outcomes(_evaluated(spark, sf_dir)[1], ["written", "skipped_exists", "no_task", "error"])
+
+
+@query("j5_evaluated_rows", f"SELECT 'request-' || o_orderkey AS task_id, o_orderkey % 7 IN (0, 4) AS triple_ok, false AS overall_ok FROM orders WHERE o_orderkey % 7 <> 6 AND {_FILES} = 'written'")
+def evaluated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, status = _evaluated(spark, sf_dir)
+    return evaluate.written(rows, status).select("task_id", "triple_ok", "overall_ok")
+
+
+@query("a12_tokens", "SELECT 'f' || (p_partkey % 3) AS file, count(*) AS n_tasks, CAST(sum(greatest(1, (28 + 1 + length(p_name)) // 4)) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN greatest(1, (length(p_type) + 1 + 26) // 4) ELSE 0 END) AS BIGINT) AS output_tokens FROM part GROUP BY ALL")
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the parts in three files of one cell each; every second one has a task."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = "concat('q/run1/batch__m__ARP-full__v', p_partkey % 3, '__rdfs2_7__n9.jsonl')"
+    line = p.selectExpr("p_partkey AS pos", f"{name} AS file", "'openai-batch' AS runner", "concat('request-', p_partkey) AS task_id", "p_name AS user_prompt", f"'{prompts.SYSTEM}' AS system_prompt")
+    other = line.limit(1).withColumn("file", F.lit("q/queue1/batch__m__ARP-full__v0__rdfs2_7__n9.jsonl"))
+    requests = line.unionByName(other).select("file", "runner", "pos", prompts.batch_request("m").alias("value"))
+    tasks = p.where("p_partkey % 2 = 0").selectExpr("'ARP-full' AS prompting_condition", "concat('v', p_partkey % 3) AS dataset_variant", "'rdfs2_7' AS pattern_id", "p_partkey AS pos", "p_type AS expected_output")
+    return reports.collected_tokens(requests, tasks).select(F.concat(F.lit("f"), F.regexp_extract("file", "__v([0-9])", 1)).alias("file"), "n_tasks", "input_tokens", "output_tokens")
+
+
+@query("f21_response_fields", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"n\":' || event_id || ',\"none\":null}' WHEN 1 THEN '{\"n\":' || event_id || '}' ELSE '{}' END AS fields FROM events")
+def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = "CASE event_id % 3 WHEN 0 THEN concat('{\"a\":[{\"b\":', event_id, '}],\"c\":{\"d\":null}}') WHEN 1 THEN concat('{\"a\":[{\"b\":', event_id, '}],\"c\":{}}') ELSE '{\"a\":[]}' END"
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{raw} AS raw").select("event_id", terms.response_fields(F.col("raw"), {"n": "a.0.b", "none": "c.d"}).alias("fields"))
+
+
+@query("o6_rule_order", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'rdfs9' WHEN 1 THEN 'rdfs11' WHEN 2 THEN 'rdfs2_3' ELSE 'rdfs2_11' END AS pattern_id, row_number() OVER (ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders WHERE o_orderkey < 400")
+def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 400").selectExpr("o_orderkey AS k", "element_at(array('rdfs9', 'rdfs11', 'rdfs2_3', 'rdfs2_11'), CAST(o_orderkey % 4 + 1 AS INT)) AS pattern_id")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(terms.rule_order(F.col("pattern_id")), "k")).cast("long"))  # 400 rows at most
+
+
+@query("k6_canonical", f"WITH {_rows_sql()}, c AS (SELECT model, pattern_id, printf('%d.%012d', f1_triple // {_P12}, f1_triple % {_P12}) AS t FROM scores) SELECT model, pattern_id, count(*) AS n, min(regexp_replace(t, '[.]?0+$', '')) AS least FROM c GROUP BY ALL")
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.canonical(_scores(spark, sf_dir)).groupBy("model", "pattern_id").agg(F.count("*").alias("n"), F.min("f1_triple").alias("least"))
+
+
 @query("a13_audit_summary", f"SELECT dataset_variant, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS judged, CAST(sum(c) AS BIGINT) AS counterfactual, CAST((2 * sum(c)::HUGEINT * {_P12} + sum(n)) // (2 * sum(n)) AS BIGINT) AS rate FROM (SELECT ['ls', 'rva', 'gs', 'gsc'][p_partkey % 4 + 1] AS dataset_variant, 1 AS n, CASE WHEN p_size > 10 THEN 1 ELSE 0 END AS c FROM part) GROUP BY ALL")
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("element_at(array('ls', 'rva', 'gs', 'gsc'), CAST(p_partkey % 4 + 1 AS INT)) AS dataset_variant", "1L AS total", "1L AS judged", "CASE WHEN p_size > 10 THEN 1L ELSE 0L END AS counterfactual")

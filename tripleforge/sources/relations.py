@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.patterns import DOM, RAN, SC, SP, TY
 
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 #: Schema triples of the view.
 SCHEMA = (
     ("placedBy", DOM, "Order"), ("containsPart", DOM, "Order"), ("suppliedBy", DOM, "Order"), ("inNation", DOM, "Party"), ("inRegion", DOM, "Nation"),
@@ -15,24 +16,32 @@ SCHEMA = (
     ("inNation", SP, "locatedIn"), ("locatedIn", SP, "linkedTo"), ("inRegion", SP, "locatedIn"),
     ("Order", SC, "Document"), ("Document", SC, "Record"), ("Record", SC, "Thing"), ("Customer", SC, "Party"), ("Party", SC, "Agent"), ("Agent", SC, "Thing"), ("Supplier", SC, "Organisation"),
     ("Organisation", SC, "Thing"), ("Part", SC, "Product"), ("Product", SC, "Thing"), ("Nation", SC, "Place"), ("Region", SC, "Area"), ("Area", SC, "Thing"), ("Place", SC, "Thing"),
+    *((t, SC, "Part") for t in PART_TYPES),
 )
 
 
+def values(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """Rows of texts as a table whose size the planner knows, so that it is joined by broadcast."""
+    quote = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)} AS t({columns})")
+
+
 def triple_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s, p, o) over the driver's tables: facts of orders, customers, suppliers and nations, types, and SCHEMA."""
+    """(s, p, o) over the driver's tables, as a set: facts of orders, their lines, customers, suppliers and nations, types, and SCHEMA."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     name = lambda kind, col: F.concat(F.lit(f"{kind}_"), F.col(col).cast("string"))
     fact = lambda d, s, p, o: d.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
     parts = [
         fact(t("orders"), name("Order", "o_orderkey"), "placedBy", name("Customer", "o_custkey")),
+        fact(t("lineitem").select("l_orderkey", "l_partkey").distinct(), name("Order", "l_orderkey"), "containsPart", name("Part", "l_partkey")),
         fact(t("lineitem").select("l_orderkey", "l_suppkey").distinct(), name("Order", "l_orderkey"), "suppliedBy", name("Supplier", "l_suppkey")),
         fact(t("customer"), name("Customer", "c_custkey"), "inNation", name("Nation", "c_nationkey")),
         fact(t("supplier"), name("Supplier", "s_suppkey"), "inNation", name("Nation", "s_nationkey")),
         fact(t("nation"), name("Nation", "n_nationkey"), "inRegion", name("Region", "n_regionkey")),
         fact(t("customer"), name("Customer", "c_custkey"), TY, F.lit("Customer")),
         fact(t("supplier"), name("Supplier", "s_suppkey"), TY, F.lit("Supplier")),
-        fact(t("part"), name("Part", "p_partkey"), TY, F.lit("Part")),
-        spark.createDataFrame(list(SCHEMA), "s string, p string, o string"),
+        fact(t("part"), name("Part", "p_partkey"), TY, F.col("p_type")),
+        values(spark, SCHEMA, "s, p, o"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -67,28 +76,56 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "metadata", F.posexplode("entries").alias("pos", "entry")).select("file", "pos", "metadata.*", "entry.*")
 
 
-def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value) of the lines that are not blank; pos counts all lines before within the file's read order."""
-    return spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+def sample_of(spark: SparkSession, root: str, files: dict[str, str], pattern: str) -> DataFrame:
+    """The sample of a pattern by the configured table of files; a pattern or file that is not there is an error."""
+    if pattern not in files:
+        raise FileNotFoundError(f"no sample is configured for {pattern}")
+    at = f"{root}/{files[pattern]}"
+    if not _exists(spark, at):
+        raise FileNotFoundError(at)
+    return samples(spark, at)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def jsonl(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, pos, value) of the lines that are not blank, of all files under path; pos counts all lines of the file from 0, blank ones too.
+
+    A file is one row until its lines are numbered, since only it knows their order.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "value"))
+    return lines.where(F.trim("value") != "")
+
+
+def scores(spark: SparkSession, path: str) -> DataFrame:
+    """A canonical CSV of scores: counts as numbers, metrics in units of 1e-12, empty ones null."""
+    rows = spark.read.csv(path, header=True, nullValue="", emptyValue="")
+    whole, metric = ("n_total", "n_correct", "n_rule"), ("accuracy", "precision_triple", "recall_triple", "f1_triple", "precision_rule", "recall_rule", "f1_rule")
+    pico = lambda c: (F.col(c).cast("decimal(13,12)") * F.lit(10**12).cast("decimal(13,0)")).cast("long")
+    return rows.select(*[F.col(c).cast("long").alias(c) if c in whole else pico(c).alias(c) if c in metric else F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
 
 
-# --- names of files: fields between double underscores ---
+# --- configurations: small dictionaries on the driver ---
 
 
-def eval_name(stem: Column) -> Column:
-    """struct(model, prompting_condition, dataset_variant, pattern_id, n) of eval__ and response__ names; null with fewer fields."""
-    f = F.split(stem, "__")
-    return F.when(F.size(f) >= 6, F.struct(f[1].alias("model"), f[2].alias("prompting_condition"), f[3].alias("dataset_variant"), f[4].alias("pattern_id"), f[5].alias("n")))
+def runner_models(config: dict[str, dict], runner: str, whole: bool) -> dict[str, dict]:
+    """Models whose runner is the given one (whole) or starts with it."""
+    return {m: v for m, v in config.items() if (v.get("runner", "") == runner if whole else v.get("runner", "").startswith(runner))}
 
 
-def task_key(stem: Column) -> Column:
-    """A response's task key: without prefix and model, then without a closing 14-digit time, then without one closing batch or long hex id."""
-    f = F.split(stem, "__")
-    rest = F.array_join(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0))), "__")
-    rest = F.regexp_replace(rest, r"__\d{14}$", "")
-    return F.when(F.size(f) >= 3, F.regexp_replace(rest, r"__(batch_[0-9a-f]+|[0-9a-f]{16,})$", ""))
+def prices(spark: SparkSession, config: dict[str, dict]) -> DataFrame:
+    """model, input_per_1m, output_per_1m; keys that start with an underscore are notes."""
+    rows = [(m, float(v.get("input_per_1m", 0)), float(v.get("output_per_1m", 0))) for m, v in config.items() if not m.startswith("_")]
+    return spark.createDataFrame(rows, "model string, input_per_1m double, output_per_1m double")
 
 
-def uids(stem: Column) -> Column:
-    """The set of fields that are a letter, a hyphen and eight hex digits."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(stem, "__"), lambda x: x.rlike("^[a-z]-[0-9a-f]{8}$"))))
+def validation_files(config: dict[str, str], patterns: list[str] | None = None) -> list[tuple[str, str]]:
+    """(pattern, file) of the chosen patterns, all by default; one that is not configured is an error."""
+    chosen = [p.strip() for p in patterns if p.strip()] if patterns else list(config)
+    if missing := [p for p in chosen if p not in config]:
+        raise ValueError(f"patterns without a file: {missing}")
+    return [(p, config[p]) for p in chosen]
