@@ -60,4 +60,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_order_minhash, op4_mixing, op5_simhash, op6_license_scans, op7_line_dedup, op8_lm_scoring, op9_packing, op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _weight_sql(level: str) -> str:
+    """The moment estimate of a level's prior weight, between its bounds."""
+    low, high = url_filters.WEIGHT
+    return f"""SELECT CASE WHEN n > 0 THEN least(greatest((1 - rho) / rho, {low}), {high}) ELSE {high} END FROM (SELECT n, CASE WHEN room > 0 THEN least(greatest((r - x * x / n - pq * (k - 1)) / room, 1e-9), 1.0) ELSE 1e-9 END AS rho
+      FROM (SELECT *, pq * (n - n2 / n - (k - 1)) AS room FROM (SELECT *, x / n * (1 - x / n) AS pq FROM (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS x, sum(CAST(n AS DOUBLE) * n) AS n2, sum(CAST(x AS DOUBLE) * x / n) FILTER (n > 0) AS r, CAST(count(*) FILTER (n > 0) AS DOUBLE) AS k FROM {level}))))"""
+
+
+#: Rules, outcomes and posterior of op 1 as another engine computes them.
+_REPUTATION = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path
+    FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages)),
+  marks AS (SELECT doc_id AS shown, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+  outcomes AS (SELECT page_id, max(bad) AS bad FROM p JOIN marks ON try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) = shown WHERE page_id IS NOT NULL GROUP BY page_id),
+  counts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN outcomes USING (page_id) GROUP BY host),
+  bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM counts),
+  two AS (SELECT *, array_to_string(l, '.') AS whole, array_to_string(l[-2:], '.') AS last2 FROM bare),
+  deep AS (SELECT *, regexp_matches(last2, '{url_filters.TWO_LABELS}') AND whole <> last2 AS d, regexp_matches(whole, '^[0-9.]+$|^\\[') AS ip FROM two),
+  hosts AS (SELECT host, n, x, CASE WHEN ip THEN whole WHEN d THEN array_to_string(l[-3:], '.') ELSE last2 END AS domain, CASE WHEN ip THEN '' WHEN d THEN last2 ELSE l[-1] END AS suffix FROM deep),
+  domains AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY ALL),
+  w AS (SELECT ({_weight_sql("suffixes")}) AS ks, ({_weight_sql("domains")}) AS kd, ({_weight_sql("hosts")}) AS kh, (SELECT (sum(x) + 1.0) / (sum(n) + 2.0) FROM suffixes) AS top),
+  s AS (SELECT suffix, (top * ks + x) / (ks + n) AS m FROM suffixes, w), dm AS (SELECT suffix, domain, (s.m * kd + x) / (kd + n) AS m FROM domains JOIN s USING (suffix), w),
+  h AS (SELECT host, m, m - {url_filters.Z} * sqrt(m * (1 - m) / (kh + n + 1)) AS lower FROM (SELECT host, n, (dm.m * kh + x) / (kh + n) AS m, kh FROM hosts JOIN dm USING (suffix, domain), w)),
+  r(rule, home, prefix, verdict) AS (VALUES {", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in url_filters.RULES)}),
+  f AS (SELECT p.page_id, p.host, p.path, h.lower, (SELECT struct_pack(rule := rule, verdict := verdict) FROM r WHERE (p.host = home OR ends_with(p.host, '.' || home)) AND starts_with(p.path, prefix) ORDER BY length(rule) DESC LIMIT 1) AS found FROM p JOIN h USING (host))
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN lower > {url_filters.LIMIT} AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _REPUTATION}
