@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import audit, evaluate, prompts, reports, sampling, scoring, variants
 from ..sources import linked, sinks
+from ..sources.storage import stored
 from ..sources.relations import SCHEMA, subproperty_pairs, triple_view
 from .bgp import closure, concluded, entailed, match
 from .patterns import LINKED, PATTERNS, SC
@@ -516,7 +517,7 @@ def verdicts_global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of a shuffled row find their source, and its triples of fitting kinds are asked: in rdfs9_11 the hierarchy's second edge takes the first one's place."""
     triples, out = triple_view(spark, sf_dir), []
     for p in ("rdfs2", "rdfs9_11", "rdfs2_9"):
-        rows = match(triples, p, True)
+        rows = stored(match(triples, p, True))
         entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", *PATTERNS[p].terms)), p, ["entry"])
         bound = audit.resolved(entries, _iris(rows, p), p, ["entry"])
         answers = audit.answered(audit.classified(bound, p, ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
@@ -527,7 +528,7 @@ def verdicts_global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c7_verdicts_converted_shuffle", f"{VIEW} SELECT 'present' AS verdict, count(*) AS n, CAST(count(*) * 3 AS BIGINT) AS n_triples FROM (SELECT DISTINCT {', '.join(_pairs(SLOTS['rdfs9_11']).values())} FROM {_TABLES[list(PATTERNS).index('rdfs9_11')]} AND starts_with(ty.a, 'Supplier'))")
 def verdicts_converted_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples = triple_view(spark, sf_dir)
-    rows = match(triples, "rdfs9_11", True).where("a LIKE 'Supplier%'")
+    rows = stored(match(triples, "rdfs9_11", True).where("a LIKE 'Supplier%'"))
     entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", "a", "x", "y", "z")), "rdfs9_11", ["entry"], converted=True)
     ways = audit.interpretations(entries, _iris(rows, "rdfs9_11"), "rdfs9_11", ["entry"])
     answers = audit.answered(audit.classified(ways, "rdfs9_11", ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
@@ -538,7 +539,7 @@ def verdicts_converted_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples that the shuffle made, names looked up in the entry's own source, asked in the graph."""
     triples = triple_view(spark, sf_dir)
-    rows = match(triples, "rdfs2_9", True).withColumn("source", F.concat_ws(" ", *PATTERNS["rdfs2_9"].terms))
+    rows = stored(match(triples, "rdfs2_9", True).withColumn("source", F.concat_ws(" ", *PATTERNS["rdfs2_9"].terms)))
     changed = audit.induced(variants.locally_shuffled(rows, "rdfs2_9", ["source"]), variants.real(rows, "rdfs2_9", ["source"]), ["source"])
     asks = audit.induced_asks(changed, _iris(rows, "rdfs2_9"), "rdfs2_9", ["source"])
     return audit.judged(audit.answered(asks, _graph(triples), _no_identities(spark), ["source"]), ["source"])
