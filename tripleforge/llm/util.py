@@ -41,10 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    delete(df.sparkSession, df._stored_at)
 
 
 #: SQL of a row's key: its place by doc_id (none last) and two hashes that tell texts of one doc_id (or none) apart.
