@@ -577,3 +577,69 @@ def test_pipeline(spark, tmp_path):
     assert set(kept) == {r.doc_id for r in quality.measured(docs).collect() if r.kept} and set(lines) == set(kept)
     groups = {r.doc_id: r.component_id for r in simhash.grouped(sets[2]).collect()}
     assert set(near) == set(groups.values()) and set(mixed) <= set(near) and set(packed) == set(mixed)
+
+
+def slow_kneser_ney(samples, order, langs):
+    """log2 P(last byte | bytes before) of any string by the formulas, from counts in dictionaries."""
+    models = []
+    for lang in langs:
+        full = collections.Counter()
+        opening = [collections.Counter() for _ in range(order)]
+        for w in samples[lang]:
+            s = b" " + w + b" "
+            for end in range(1, len(s)):
+                for n in range(1, min(order, end + 1) + 1):
+                    if n == order:
+                        full[s[end + 1 - n : end + 1]] += 1
+                    elif n == end + 1:  # it opens the word: nothing stands before it
+                        opening[n - 1][s[: end + 1]] += 1
+        levels = [None] * order
+        levels[order - 1] = full
+        for n in range(order - 1, 0, -1):
+            c = collections.Counter(opening[n - 1])
+            for longer in levels[n]:
+                c[longer[1:]] += 1
+            levels[n - 1] = c
+        models.append(levels)
+
+    def prob(levels, s):
+        n = len(s)
+        if not n:
+            return 1 / 256
+        c = levels[n - 1]
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+        total, kinds = sum(v for k, v in c.items() if k[:-1] == s[:-1]), sum(k[:-1] == s[:-1] for k in c)
+        low = prob(levels, s[1:])
+        return low if not total else max(c[s] - d, 0) / total * (c[s] > 0) + d * kinds / total * low
+
+    return lambda s: [prob(levels, s) for levels in models]
+
+
+def test_kneser_ney_by_the_formulas():
+    samples = {"aa": [b"bako", b"miru", b"bako", b"ba", b"komi"], "bb": [b"schein", b"ung", b"ein", b"ver", b"b\xc3\xa4r"], "cc": [b"x"]}
+    m = langid.KneserNey(samples, 3)
+    slow = slow_kneser_ney(samples, 3, m.langs)
+    for w in (b"bako", b"ungbako", b"x", b"q", b"veru", b"\xc3\xa4"):
+        s = b" " + w + b" "
+        want = [0.0] * 3
+        for end in range(1, len(s)):
+            want = [x + np.log2(p) for x, p in zip(want, slow(s[max(0, end - 2) : end + 1]))]
+        assert np.allclose(m.words([w])[0], want, atol=1e-4), (w, m.words([w])[0], want)
+
+
+def test_clashing_columns(spark, docs):
+    odd = docs.withColumn("mix_source", F.lit("s")).withColumn("doc", F.lit(1)).withColumn("cuts", F.lit("x")).withColumn("row", F.lit(2)).withColumn("kept", F.lit(False))
+    for stage in (mixing.mix, linededup.dedup, simhash.dedup, quality.keep):
+        got = stage(odd)
+        assert got.columns == odd.columns and got.count() == stage(docs).count()
+
+
+def test_quality_counts_lines_and_chunks():
+    import zstandard
+
+    text = "one line here\n\n  \none line here\nother\none line here\n\n  "
+    got = quality.measure(text, zstandard.ZstdCompressor(level=3))
+    assert got[3] == 2  # blank lines are no repeats
+    low = quality.measure("\n".join(f"Item {i} of the long list was sold" for i in range(400)), zstandard.ZstdCompressor(level=3))
+    assert not low[6] and low[7] < quality.limits(low[10])[0] and low[8] > quality.BAD_SHARE * low[9]  # repetitive: under the band as a whole and by chunks
