@@ -55,7 +55,8 @@ class Encoder:
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*").fullmatch
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
-        self.merge, self.ids = self._merges(json.loads(self.whole.to_str())["model"], {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)})
+        self.merge, ids = self._merges(json.loads(self.whole.to_str())["model"], {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)})
+        self.ids = [x.tobytes() for x in ids].__getitem__
 
     @staticmethod
     def _merges(model: dict, shown: dict[int, str]):
@@ -81,14 +82,16 @@ class Encoder:
     def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
         if ids is None:
-            ids = self.ids[self.merge(p.encode() + b"\0")].tobytes()
+            ids = b"".join(map(self.ids, self.merge(p.encode() + b"\0")))
             if len(self.pieces) >= CACHE // 2:
                 self.pieces.clear()
             self.pieces[p] = ids
         return ids
 
     def word(self, w: str) -> bytes:
-        if self.plain(w) and "<|" not in w:
+        if w.isascii() and w.isalpha():  # one piece
+            ids = b"".join(map(self.ids, self.merge(w.lower().encode() + b"\0")))
+        elif self.plain(w) and "<|" not in w:
             ids = b"".join(map(self.piece, self.find(w.lower())))
         else:
             ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
