@@ -1,4 +1,4 @@
-"""The reference operators as queries over the driver's tables, each with the SQL that an independent engine runs."""
+"""The operators as queries over the driver's tables, each with the SQL that an independent engine runs."""
 
 from __future__ import annotations
 
