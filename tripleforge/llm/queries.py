@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the driver's tables: thin, with production parameters, over whole tables."""
+"""The operators and the pipeline as queries over the driver's tables: thin, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, linededup, lm, mixing, packing, quality, simhash, url_filters
+from . import discriminant, divergence, fingerprints, langid, licenses, linededup, lm, mixing, negatives, packing, quality, simhash, url_filters
 from .util import load
 
 
@@ -56,8 +56,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(load(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(load(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_order_minhash, op4_mixing, op5_simhash, op6_license_scans, op7_line_dedup, op8_lm_scoring, op9_packing, op10_language_id)
+    f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_order_minhash, op4_mixing, op5_simhash, op6_license_scans, op7_line_dedup, op8_lm_scoring, op9_packing, op10_language_id, op11_source_divergence, op12_quality_classifier, op13_hard_negatives)
 }
 
 def _weight_sql(level: str) -> str:
@@ -85,4 +97,26 @@ _REPUTATION = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(r
   f AS (SELECT p.page_id, p.host, p.path, h.lower, (SELECT struct_pack(rule := rule, verdict := verdict) FROM r WHERE (p.host = home OR ends_with(p.host, '.' || home)) AND starts_with(p.path, prefix) ORDER BY length(rule) DESC LIMIT 1) AS found FROM p JOIN h USING (host))
 SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN lower > {url_filters.LIMIT} AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _REPUTATION}
+#: Counts, kept terms, probabilities, pairs and terms of op 11 in whole numbers.
+_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+  w AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+  n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+  v AS (SELECT lang, count(*) AS v, sum(lang_n) AS t FROM kept GROUP BY lang),
+  g AS (SELECT lang, source, coalesce(sum(n), 0) AS t FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL),
+  p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (g.t + v.v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (v.t + v.v) AS q
+    FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
+#: Positives and windowed negatives of op 13 from all exact inner products of the anchors.
+_NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+  WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _REPUTATION, "op11_source_divergence": _DIVERGENCE, "op13_hard_negatives": _NEGATIVES}
