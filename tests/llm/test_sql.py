@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     duck = duckdb.connect()
-    for t in ("pages", "labels", "documents"):
+    for t in ("pages", "labels", "documents", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = QUERIES[name](spark, SF), duck.sql(ORACLE_SQL[name])
     cols = sorted(df.columns)
