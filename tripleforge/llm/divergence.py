@@ -32,7 +32,7 @@ from .util import stored
 
 MIN_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Terms of a vocabulary chunk (expected), groups of a block, chunks of a task's share of a tile.
-CHUNK, BLOCK, SPAN = 4096, 64, 16
+CHUNK, BLOCK, SPAN = 4096, 64, 4
 #: Entries a task holds before it hands on its sums, bytes of a text counted at once.
 HELD, PIECE = 400_000, 1 << 20
 FIELDS = "lang string, source string, part string, item string, value long, rank int"
