@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripleforge.llm import discriminant, divergence, negatives
+from tripleforge.llm import discriminant, divergence, negatives, packing
 
 SF = "/root/testdata/sf0.01"
 
@@ -183,3 +183,43 @@ def test_negatives_beyond_double_precision(spark):
     huge = [(0, [1e30], 1), (1, [1e30], 1), (2, [1.0], 2), (3, [-1e30], 1)]
     assert negatives.mined(spark.createDataFrame(huge, KIND), 10).collect() == []
     assert negatives.products(np.array([[2.0**140], [3.0]]), np.array([[2.0**140], [-(2.0**140)], [5.0]])).tolist() == [[(1 << 63) - 1, -(1 << 63), (1 << 63) - 1], [(1 << 63) - 1, -(1 << 63), 15]]
+
+
+def test_ids_equal_the_tokenizer_around_every_control_and_space():
+    e = packing.Encoder(packing.tokenizer_path())
+    odd = [chr(c) for c in (*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x180E, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    rng = random.Random(1)
+    texts = [f"a{c}b" for c in odd] + [c for c in odd] + [f"Don't{c}{d}it's x" for c in "\x1c\x1d\x1e\x1f" for d in odd]
+    texts += ["".join(rng.choices([*odd, "a", "é", "the", "7", "!", "'s", "\u0301"], k=30)) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(e(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_placement_by_a_plain_search_of_all_levels():
+    """Each piece goes where the sum of squared counts of partly filled windows is least, the fullest window at equal cost, a new one last."""
+    rng = random.Random(2)
+    for window in (8, 50):
+        p, count = packing.Packer(window), collections.Counter()
+        for n in range(3000):
+            size = rng.randint(1, window)
+            if size == window:
+                p.place((n, 0, size), size)
+                continue
+            costs = {}
+            for fill in [0, *(f for f, k in count.items() if k and f + size <= window)]:
+                after = count.copy()
+                after[fill] -= fill > 0
+                after[fill + size] += fill + size < window
+                costs[fill] = sum(k * k for k in after.values())
+            fill = max(f for f in costs if costs[f] == min(costs.values()))
+            count[fill] -= fill > 0
+            count[fill + size] += fill + size < window
+            p.place((n, 0, size), size)
+            assert {f: k for f, k in count.items() if k} == {f: int(k) for f, k in enumerate(p.level) if k}
+            assert all(len(p.open[f]) == count[f] for f in range(1, window))
+
+
+def test_rows_without_an_id_are_spread_over_parts(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    per = collections.Counter(r.sequence_id >> 32 for r in packing.packed(df, parts=4).collect())
+    assert sorted(per) == [0, 1, 2, 3] and max(per.values()) < 1.3 * min(per.values())

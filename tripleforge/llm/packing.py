@@ -7,7 +7,7 @@ merged: the emptiest are cut into the room of the fullest, so that at most one w
 is padded, unless its length is a power of two. So the rule decides how few documents are cut, the merge how little is
 padded: rule_padding is what the part's windows would be padded by without the merge.
 
-Documents are dealt by a hash of doc_id into parts whose number follows the count of rows, and each part is packed in
+Documents are dealt by a hash of doc_id (without one, of their ids) into parts whose number follows the count of rows, and each part is packed in
 the order of doc_id, so a lost executor's work comes out the same again; sequence ids are the part and a running number.
 Defined results: a null text is empty, and an empty text is the end id alone; a null doc_id is dealt and packed like
 any other; repeated rows are packed as often as they come; an empty table gives an empty result.
@@ -16,6 +16,7 @@ any other; repeated rows are packed as often as they come; an empty table gives
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END = 2048, 1
+#: The separators U+001C to U+001F, white space to Python but not to the tokenizer, and its white space (fixed values).
+_NO_SPACE, _SPACE = re.compile("[\x1c-\x1f]").search, re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").split
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, rule_padding long"
 #: Rows of a part, and words held in a worker's cache of encoded words.
 PART_ROWS, CACHE = 8192, 300_000
@@ -101,8 +104,9 @@ class Encoder:
         return ids
 
     def __call__(self, text: str | None) -> bytes:
-        get, word = self.words.get, self.word
-        return b"".join([get(w) or word(w) for w in (text or "").split()])
+        get, word, text = self.words.get, self.word, text or ""
+        words = filter(None, _SPACE(text)) if _NO_SPACE(text) else text.split()
+        return b"".join([get(w) or word(w) for w in words])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -196,7 +200,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, parts
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids(t) + end for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     encoded = texts.mapInArrow(encode, "doc_id long, ids binary")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids"))), F.lit(parts)).cast("int")
     dealt = encoded.select("doc_id", "ids", part.alias("part"))
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
 
