@@ -63,8 +63,8 @@ def test_interpretations(spark):
     got = audit.interpretations(entry, rows, "rdfs9", ["entry"]).collect()
     assert [r.error for r in got] == ["no source entry explains the premise"]  # nothing is spelled A_B but what stands at its own place
     choices = [[0, 1], [1, 2], [0, 2]]
-    out = spark.createDataFrame([(choices,)], "c array<array<int>>").select(audit._assignments("c").alias("x")).first().x
-    assert sorted(map(tuple, out)) == [(0, 1, 2), (1, 2, 0)]
+    out = spark.createDataFrame([(choices,), ([[0], [0]],), ([],)], "c array<array<int>>").select(audit.matchings("c").alias("x")).collect()
+    assert [sorted(map(tuple, r.x)) for r in out] == [[(0, 1, 2), (1, 2, 0)], [], [()]]
 
 
 def test_term_functions(spark):
@@ -128,3 +128,43 @@ def test_closure_ends(spark):
     assert closure(chain).count() == 21 * 22 // 2
     with pytest.raises(ValueError):
         closure(chain, doublings=3)
+
+
+def test_triples_and_rules_as_written(spark):
+    """Names hold commas, ends hold any white space, an empty rule counts."""
+    got = one(spark, terms.strict_triples(F.lit("<country, rdfs:domain, Place>, <Paris,_Texas, country,  United_States\n>, <a,b,c>, <a, b>")))
+    assert [tuple(t) for t in got] == [("country", "rdfs:domain", "Place"), ("Paris,_Texas", "country", "United_States")]
+    assert [tuple(t) for t in one(spark, terms.strict_triples(F.lit("<Paris,_Texas, country, \t United_States\x1c>")))] == [("Paris,_Texas", "country", "United_States")]
+    rules = lambda t: one(spark, terms.used_rules(F.lit(t)))
+    assert rules("x [used_rules: rdfs2,\nrdfs7]") == ["rdfs2", "rdfs7"] and rules("[used_rules: rdfs2, ]") == ["rdfs2", ""] and rules("[used_rules: ruleA\x1f,ruleX]") == ["rdfs2", "ruleX"]
+    assert rules("[used_rules:]") == [] and rules("[used_rules: ]") == [""] and rules("none") == [] and rules("[used_rules: a] [used_rules: b]") == ["a"]
+    entry = spark.createDataFrame([("e", "<country, rdfs:domain, Place>, <Paris,_Texas, country, United_States>")], "entry string, premise_knowledge string")
+    assert audit.dest_terms(entry, "rdfs2").first().spec_error is None
+
+
+def test_bindings_stay_linear_where_every_term_is_common(spark):
+    """400 sources of 20 names each way: an entry meets its one source, not all that share a term; repeated terms and sources are found as by trying all."""
+    n = 20
+    rows = [(f"s{a}_{b}", R + f"A{a}", R + f"B{b}", O + "p", O + "X") for a in range(n) for b in range(n)]
+    rows += [("dup", R + "A0", R + "B0", O + "p", O + "X"), ("same", R + "A1", R + "A1", O + "p", O + "X")]
+    sources = spark.createDataFrame(rows, "source string, a string, b string, i string, x string")
+    texts = [(f"e{a}_{b}", f"<X, rdfs:domain, A{a}>, <B{b}, X, p>") for a in range(n) for b in range(0, n, 7)] + [("twice", "<X, rdfs:domain, A3>, <A3, X, X>"), ("none", "<X, rdfs:domain, A3>, <A3, X, Z>")]
+    entries = spark.createDataFrame(texts, "entry string, premise_knowledge string")
+    got = {r.entry: r.error for r in audit.resolved(entries, sources, "rdfs2", ["entry"]).collect()}
+    assert len(got) == len(texts)
+    for key, text in texts:
+        told = {"x": text.split("domain, ")[1].split(">")[0], "a": text.split("<")[2].split(",")[0], "i": "X", "b": text.rsplit(", ", 1)[1].rstrip(">")}
+        fit = sum(all([x.rsplit("/", 1)[1] for x in r[1:]].count(t) == 1 for t in told.values()) for r in rows)
+        assert (got[key] is None) == (fit == 1) and (fit < 2 or "several" in got[key]) and (fit or "no source" in got[key]), key
+
+
+def test_presence_of_asks_that_all_entries_share(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 'hot' ELSE concat('s', id) END AS s", "'p' AS p", "CASE WHEN id % 3 = 1 THEN 'lost' ELSE 'o' END AS o")
+    graph = spark.createDataFrame([("hot", "p", "o")] * 2 + [(f"s{i}", "p", "o") for i in range(2, 3000, 6)] + [("x", "y", "z")], "s string, p string, o string")
+    known, n = audit.answers(rows, graph)
+    assert n == 3000 and known.count() == 1002 and known.where("s = 'hot' AND o = 'o'").first().hit
+    near = audit._near(graph, known, known.count())
+    assert near.where("s = 'x'").count() == 0 and near.where("s = 'hot'").count() == 2
+    got = audit.looked_up(rows, known, n).collect()
+    assert len(got) == 3000 and all(r.hit == (r.id % 3 == 0 or (r.id % 3 == 2 and r.id % 6 == 2)) for r in got)
+    assert audit.looked_up(rows.limit(0), *audit.answers(rows.limit(0), graph)).count() == 0

@@ -58,15 +58,20 @@ def test_sinks(spark, tmp_path):
     got = docs.first()
     assert got.name == "dataset__rk__rdfs2__n3__b-00000001"
     assert json.loads(got.value) == {"metadata": {"pattern_id": "rdfs2", "count": 3}, "entries": [{"premise_knowledge": f"p{i}", "expected_output": "e"} for i in range(3)]}
-    at = str(tmp_path / "out")
-    sinks.write(docs, at)
-    sinks.write(docs.withColumn("value", F.lit("new")), at)  # what is there stays
-    assert json.loads(spark.read.text(at).first().value)["metadata"]["count"] == 3
-    sinks.write(docs.withColumn("value", F.lit("new")), at, overwrite=True)
-    assert spark.read.text(at).first().value == "new"
+    at = tmp_path / "out"
+    sinks.write(docs, str(at), extension=".json")
+    sinks.write(docs.withColumn("value", F.lit("new")), str(at), extension=".json")  # what is there stays
+    assert [f.name for f in at.glob("[!._]*")] == [got.name + ".json"] and json.loads((at / f"{got.name}.json").read_text())["metadata"]["count"] == 3
+    two = spark.createDataFrame([("other = a b", "x"), (got.name, "skipped")], "name string, value string")
+    sinks.write(two, str(at), extension=".json")
+    sinks.write(docs.withColumn("value", F.lit("new")), str(at), overwrite=True, extension=".json")  # only the names that are written
+    assert {f.name: f.read_text() for f in at.glob("[!._]*")} == {got.name + ".json": "new\n", "other = a b.json": "x\n"}
+    with pytest.raises(Exception, match="no name of a file"):
+        sinks.write(two.unionByName(spark.createDataFrame([("a/b", "x"), ("c", "x")], "name string, value string")), str(at), overwrite=True)
+    assert sorted(f.name for f in at.iterdir() if not f.name.startswith(".")) == sorted([got.name + ".json", "other = a b.json"])  # a failed write leaves nothing
     many = sinks.lines(rows, F.lit("f"), F.col("premise_knowledge"), "pos")
-    sinks.write(many, str(tmp_path / "lines"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["p0", "p1", "p2"]
+    sinks.write(many, str(tmp_path / "lines"), extension=".jsonl")
+    assert (tmp_path / "lines" / "f.jsonl").read_text() == "p0\np1\np2\n"
     scores = spark.createDataFrame([("m2", "NRP-full", "rk", "rdfs11", 1, 2, 1, 500_000_000_000, None), ("m1", "NRP-full", "rk", "rdfs11", 1, 2, 1, 333_333_333_333, 10**12), ("m1", "NRP-full", "rk", "rdfs9", 1, 2, 1, 0, None)], "model string, prompting_condition string, dataset_variant string, pattern_id string, n_rule long, n_total long, n_correct long, f1_triple long, f1_rule long")
     sinks.write_csv(scores, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()

@@ -79,7 +79,9 @@ def deranged(values: list[Column]) -> Column:
     if n < 2:
         return F.lit(None).cast("array<string>")
     tries = [F.when(_all([values[i] != values[(i + k) % n] for i in range(n)]), F.array(*[values[(i + k) % n] for i in range(n)])) for k in range(1, n)]
-    return F.coalesce(*tries, _any_derangement(F.array(*values))) if n > 4 else F.coalesce(*tries)  # up to four values a rotation exists if anything does
+    turned = F.coalesce(*tries)
+    # up to four values a rotation exists if anything does; the search runs for all rows of a batch, so rows that are turned send null
+    return F.coalesce(turned, _any_derangement(F.when(turned.isNull(), F.array(*values)))) if n > 4 else turned
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -92,6 +94,8 @@ def _all(conditions: list[Column]) -> Column:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _any_derangement(rows: pd.Series) -> pd.Series:
     def one(v):
+        if v is None:
+            return None
         v = list(v)
         if max(v.count(x) for x in v) * 2 > len(v):  # a value in over half of the places can't leave them
             return None
@@ -119,13 +123,18 @@ def triple_parts(t: Column) -> Column:
     return F.when(F.size(f) == 3, F.struct(f[0].alias("s"), f[1].alias("p"), f[2].alias("o")))
 
 
-def strict_triples(text: Column) -> Column:
-    """Audit form: exactly three parts, each stripped; others are left out."""
-    cut = F.transform(F.regexp_extract_all(text, F.lit("<([^>]+)>"), F.lit(1)), lambda c: F.split(c, ","))
-    return F.transform(F.filter(cut, lambda f: F.size(f) == 3), lambda f: F.struct(F.trim(f[0]).alias("s"), F.trim(f[1]).alias("p"), F.trim(f[2]).alias("o")))
+_SPACE = r"[\s\x1c-\x1f]"
 
 
-_SPACE = r"[\s\x1c-\x1f]"
+def stripped(s: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(s, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
+def strict_triples(text: Column) -> Column:
+    """Audit form: exactly three parts between ", ", each stripped; others are left out. A comma without a blank is part of a name."""
+    cut = F.transform(F.regexp_extract_all(text, F.lit("<([^>]+)>"), F.lit(1)), lambda c: F.split(c, ", "))
+    return F.transform(F.filter(cut, lambda f: F.size(f) == 3), lambda f: F.struct(stripped(f[0]).alias("s"), stripped(f[1]).alias("p"), stripped(f[2]).alias("o")))
 
 
 def flexible(candidate: Column, triple: Column, normal: Column | None = None) -> Column:
@@ -143,15 +152,15 @@ def flexible(candidate: Column, triple: Column, normal: Column | None = None) ->
 
 
 def normal_candidate(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", ""), rf"(?U)(?:,|{_SPACE})+", " ")
+    return F.regexp_replace(stripped(c), rf"(?U)(?:,|{_SPACE})+", " ")
 
 
 def used_rules(text: Column) -> Column:
-    """Rules of the first [used_rules: ...], letters replaced by names; empty without one."""
-    inner = F.regexp_extract(text, r"\[used_rules:\s*([^\]]*)\]", 1)
+    """Rules of the first [used_rules: ...], letters replaced by names, an empty place as ""; no rules without one."""
+    inner = F.regexp_extract(text, r"(?U)\[used_rules:\s*([^\]]+)\]", 1)
     letters = F.create_map(*[F.lit(x) for kv in RULE_LETTERS.items() for x in kv])
-    parts = F.filter(F.transform(F.split(inner, ","), lambda r: F.trim(r)), lambda r: r != "")
-    return F.transform(parts, lambda r: F.coalesce(letters[r], r))
+    rules = F.transform(F.split(inner, ","), lambda r: F.coalesce(letters[stripped(r)], stripped(r)))
+    return F.when(inner != "", rules).otherwise(F.array().cast("array<string>"))
 
 
 def answer_text(raw: Column) -> Column:

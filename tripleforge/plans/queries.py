@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import audit, evaluate, prompts, reports, sampling, scoring, variants
 from ..sources import linked, sinks
-from ..sources.storage import stored
+from ..streaming import ingest
+from ..sources.storage import shared_dir, stored
 from ..sources.relations import SCHEMA, subproperty_pairs, triple_view
 from .bgp import closure, concluded, entailed, match
 from .patterns import LINKED, PATTERNS, SC
@@ -369,8 +371,8 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "concat('Order_', o_orderkey) AS a", "concat('Customer_', o_custkey) AS b")
     first, second = "concat(a, ', rdf:type, Order')", "concat(a, ', relatedTo, ', b)"
     answer = f"""CASE k % 7 WHEN 0 THEN concat('<', {first}, '>, <', {second}, '>') WHEN 1 THEN concat('<', {first}, '>') WHEN 2 THEN concat('<', {first}, '> <', a, ', wrong, ', b, '>')
-      WHEN 3 THEN concat('<', a, ', placedBy, ', b, '> and <', {second}, '> <', {second}, '>') WHEN 4 THEN concat('< ', {first}, ' > <"', {second}, '">')
-      WHEN 5 THEN concat('<', replace({first}, ', ', ','), '> <', replace({second}, ', ', ' '), '>') ELSE 'none [used_rules: ruleA, rdfs7]' END"""
+      WHEN 3 THEN concat('<', a, ', placedBy, ', b, '> and <', {second}, '> <', {second}, '>') WHEN 4 THEN concat('< ', {first}, ' > <"', {second}, '"> [used_rules: rdfs2, ]')
+      WHEN 5 THEN concat('<', replace({first}, ', ', ','), '> <', replace({second}, ', ', ' '), '>') ELSE 'none [used_rules:\n ruleA,\n\trdfs7\u00a0]' END"""
     return o.selectExpr("k", "concat('<placedBy, rdfs:domain, Order>, <placedBy, rdfs:subPropertyOf, relatedTo>, <', a, ', placedBy, ', b, '>') AS premise_knowledge", f"concat('<', {first}, '>, <', {second}, '>') AS expected_output", f"{answer} AS model_output", "array('rdfs2', 'rdfs7') AS rules")
 
 
@@ -393,7 +395,7 @@ def flex_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.flex(_answers(spark, sf_dir)).select("k", "precision_triple", "recall_triple", "f1_triple", "triple_ok")
 
 
-@query("a3_rule_scores", f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 6 THEN 'rdfs2,rdfs7' ELSE '' END AS model_rules, CAST(CASE WHEN o_orderkey % 7 = 6 THEN {_P12} ELSE 0 END AS BIGINT) AS f1_rule FROM orders")
+@query("a3_rule_scores", f"SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 6 THEN 'rdfs2,rdfs7' WHEN 4 THEN ',rdfs2' ELSE '' END AS model_rules, CAST(CASE o_orderkey % 7 WHEN 6 THEN {_P12} WHEN 4 THEN {_P12 // 2} ELSE 0 END AS BIGINT) AS f1_rule FROM orders")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.rules(scoring.strict(_answers(spark, sf_dir)))
     return rows.select("k", F.array_join("model_rules", ",").alias("model_rules"), "f1_rule")
@@ -484,9 +486,10 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _iris(rows: DataFrame, pattern: str) -> DataFrame:
-    """Slot rows as a source's: `source` and an IRI for each slot."""
-    iri = lambda t: F.concat(F.lit("http://dbpedia.org/" + ("resource/" if t in "ab" else "ontology/")), F.col(t)).alias(t)
-    return rows.select(F.concat_ws(" ", *PATTERNS[pattern].terms).alias("source"), *[iri(t) for t in PATTERNS[pattern].terms])
+    """Slot rows as a source's: `source`, an IRI for each slot, and what linked patterns have besides."""
+    iri = lambda t: F.concat(F.lit("http://dbpedia.org/" + ("resource/" if t in "ab" else "ontology/")), F.col(t))
+    more = [iri("i").alias("i_dbp"), *[F.regexp_replace(t, "([A-Z])", " $1").alias(f"{t}_label") for t in PATTERNS[pattern].terms if t in "jk"]] if pattern in LINKED else []
+    return rows.select(F.concat_ws(" ", *PATTERNS[pattern].terms).alias("source"), *[iri(t).alias(t) for t in PATTERNS[pattern].terms], *more)
 
 
 def _graph(triples: DataFrame) -> DataFrame:
@@ -512,27 +515,49 @@ def presence_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verdicts(audit.present(shuffled, triples, ["entry"]), ["entry"])
 
 
-@query("c6_verdicts_global_shuffle", f"{VIEW} " + " UNION ALL ".join(f"SELECT '{p}' AS pattern_id, '{v}' AS verdict, count(*) AS n FROM (SELECT DISTINCT {', '.join(_pairs(SLOTS[p]).values())} FROM {_TABLES[list(PATTERNS).index(p)]})" for p, v in (("rdfs2", "structural"), ("rdfs9_11", "present"), ("rdfs2_9", "structural"))))
-def verdicts_global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms of a shuffled row find their source, and its triples of fitting kinds are asked: in rdfs9_11 the hierarchy's second edge takes the first one's place."""
-    triples, out = triple_view(spark, sf_dir), []
-    for p in ("rdfs2", "rdfs9_11", "rdfs2_9"):
+def _global_sql(pattern: str) -> str:
+    """Verdicts of a pattern's global shuffle: each term comes to the place of the one before it, so a triple fits if the kinds that come to its ends do; such triples are looked up."""
+    p = PATTERNS[pattern]
+    order = [t for t in "abijkxyzw" if t in _pairs(SLOTS[pattern])]
+    new = dict(zip(order, order[1:] + order[:1]))
+    kind = lambda t: "a" if new[t] in "ab" else "i" if new[t] in "ijk" else "x"
+    want = {"rdfs:domain": "ix", "rdfs:range": "ix", "rdfs:subPropertyOf": "ii", "rdfs:subClassOf": "xx", "rdf:type": "ax"}
+    fits = [(s, q, o) for s, q, o in p.premise if (kind(s) + kind(q) + kind(o) == "aia" if len(q) == 1 else kind(s) + kind(o) == want[q])]
+    base = f"(SELECT DISTINCT {', '.join(f'{e} AS {t}' for t, e in _pairs(SLOTS[pattern]).items())} FROM {_TABLES[list(PATTERNS).index(pattern)]}) b"
+    ends = [(new[s], "b." + new[q] if len(q) == 1 else f"'{q}'", new[o]) for s, q, o in fits]
+    asked = "".join(f" LEFT JOIN t t{n} ON t{n}.s = b.{s} AND t{n}.p = {q} AND t{n}.o = b.{o}" for n, (s, q, o) in enumerate(ends))
+    verdict = f"CASE WHEN {' OR '.join(f't{n}.s IS NOT NULL' for n in range(len(ends)))} THEN 'present' ELSE 'absent' END" if ends else "'structural'"
+    differ = " AND ".join(f"b.{x} <> b.{y}" for x, y in new.items())
+    return f"SELECT '{pattern}' AS pattern_id, {verdict} AS verdict, count(*) AS n, CAST(count(*) * {len(p.premise)} AS BIGINT) AS n_triples FROM {base}{asked} WHERE {differ} GROUP BY 2"
+
+
+#: Types and facts, one graph's and a linked hierarchy; any pattern but rdfs5 and rdfs11 may stand here.
+_GLOBAL = ["rdfs2", "rdfs9", "rdfs9_11", "rdfs2_9", "rdfs3_7"]
+
+
+def _verdicts_of_shuffles(spark: SparkSession, sf_dir: str, patterns: list[str], converted: bool) -> DataFrame:
+    """Verdicts by pattern: entries find their sources, and the triples of all patterns are asked in one graph at once."""
+    triples, asks = triple_view(spark, sf_dir), []
+    for p in patterns:
         rows = stored(match(triples, p, True))
-        entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", *PATTERNS[p].terms)), p, ["entry"])
-        bound = audit.resolved(entries, _iris(rows, p), p, ["entry"])
-        answers = audit.answered(audit.classified(bound, p, ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
-        out.append(audit.judged(answers, ["entry"]).groupBy(F.lit(p).alias("pattern_id"), "verdict").agg(F.count("*").alias("n")))
-    return reduce(DataFrame.unionByName, out)
+        entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", *PATTERNS[p].terms)), p, ["entry"], converted=converted)
+        bound = (audit.interpretations if converted else audit.resolved)(entries, _iris(rows, p), p, ["entry"])
+        asks.append(audit.classified(bound, p, ["entry"]).withColumn("pattern_id", F.lit(p)))
+    answers = audit.answered(reduce(DataFrame.unionByName, asks), _graph(triples), _no_identities(spark), ["pattern_id", "entry"])
+    return audit.judged(answers, ["pattern_id", "entry"]).groupBy("pattern_id", "verdict").agg(F.count("*").alias("n"), F.sum("n_triples").alias("n_triples"))
+
+
+@query("c6_verdicts_global_shuffle", f"{_T} " + " UNION ALL ".join(map(_global_sql, _GLOBAL)))
+def verdicts_global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts_of_shuffles(spark, sf_dir, _GLOBAL, False)
+
 
+_CONVERTED = ["rdfs9", "rdfs9_11"]
 
-@query("c7_verdicts_converted_shuffle", f"{VIEW} SELECT 'present' AS verdict, count(*) AS n, CAST(count(*) * 3 AS BIGINT) AS n_triples FROM (SELECT DISTINCT {', '.join(_pairs(SLOTS['rdfs9_11']).values())} FROM {_TABLES[list(PATTERNS).index('rdfs9_11')]} AND starts_with(ty.a, 'Supplier'))")
+
+@query("c7_verdicts_converted_shuffle", f"{_T} " + " UNION ALL ".join(map(_global_sql, _CONVERTED)))
 def verdicts_converted_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = triple_view(spark, sf_dir)
-    rows = stored(match(triples, "rdfs9_11", True).where("a LIKE 'Supplier%'"))
-    entries = variants.globally_shuffled(rows.withColumn("entry", F.concat_ws(" ", "a", "x", "y", "z")), "rdfs9_11", ["entry"], converted=True)
-    ways = audit.interpretations(entries, _iris(rows, "rdfs9_11"), "rdfs9_11", ["entry"])
-    answers = audit.answered(audit.classified(ways, "rdfs9_11", ["entry"]), _graph(triples), _no_identities(spark), ["entry"])
-    return audit.judged(answers, ["entry"]).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_triples").alias("n_triples"))
+    return _verdicts_of_shuffles(spark, sf_dir, _CONVERTED, True)
 
 
 @query("c8_audit_local_shuffle", f"{_T}, e AS (SELECT DISTINCT f.a, f.b, f.i, dom.x, sc.y FROM f JOIN dom USING (i) JOIN sc ON sc.x = dom.x WHERE f.a <> f.b AND dom.x <> sc.y), u AS (SELECT a, b, i, x, y, i AS s, 'rdfs:domain' AS p, y AS o FROM e UNION ALL SELECT a, b, i, x, y, y, 'rdfs:subClassOf', x FROM e UNION ALL SELECT a, b, i, x, y, b, i, a FROM e) SELECT u.a || ' ' || u.b || ' ' || u.i || ' ' || u.x || ' ' || u.y AS source, count(*) AS n_triples, count(*) AS n_compatible, count(t.s) AS n_found, CASE WHEN count(t.s) > 0 THEN 'present' ELSE 'absent' END AS verdict FROM u LEFT JOIN t USING (s, p, o) GROUP BY ALL")
@@ -549,7 +574,7 @@ def audit_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premises of rdfs9 from the parts: a true type, a true subclass, neither, or one triple too few."""
     triples = triple_view(spark, sf_dir)
-    lines = {0: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, ', p_type, '>')", 1: "concat('<Order, rdfs:subClassOf, Document>, <Part_', p_partkey, ', rdf:type, Order>')", 2: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, Order>')", 3: "concat('<(a b), rdfs:subClassOf, c>, <Part_', p_partkey, ', rdf:type, (a b)>')"}
+    lines = {0: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, ', p_type, '>')", 1: "concat('<Order, rdfs:subClassOf, Document>, <Part_', p_partkey, ', rdf:type, Order>')", 2: "concat('<Order, rdfs:subClassOf, Agent>, <Part_', p_partkey, ', rdf:type, Order>')", 3: "concat('<(a b), rdfs:subClassOf, c>, <Part_', p_partkey, ',_Texas, rdf:type, (a b)>')"}
     text = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {e}" for k, e in lines.items()) + " ELSE concat('<Part_', p_partkey, ', rdf:type, ', p_type, '>') END"
     entries = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{text} AS premise_knowledge")
     answers = audit.answered(audit.vocabulary_asks(entries, "rdfs9", ["p_partkey"]), _graph(triples), _no_identities(spark), ["p_partkey"])
@@ -605,6 +630,29 @@ def evaluated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.written(rows, status).select("task_id", "triple_ok", "overall_ok")
 
 
+def _streamed_sql() -> str:
+    half = lambda n, d: f"CAST(CASE WHEN {d} = 0 THEN 0 ELSE (2 * {n} * {_P12}::HUGEINT + {d}) // (2 * greatest({d}, 1)) END AS BIGINT)"
+    kinds = ", ".join(f"({k}, {', '.join(map(str, v))})" for k, v in {0: (2, 2, 0, 0), 1: (1, 1, 0, 0), 2: (1, 2, 0, 0), 3: (1, 1, 0, 0), 4: (2, 2, 1, 2), 5: (0, 2, 0, 0), 6: (0, 0, 2, 2)}.items())
+    arp = lambda e: f"CASE WHEN o_orderkey % 3 > 0 THEN {e} END"
+    rows = f"SELECT o_orderkey % 3 AS m, tp = 2 AND pred = 2 AND (o_orderkey % 3 = 0 OR (rtp = 2 AND rpred = 2)) AS ok, {half('tp', 'pred')} AS precision_triple, {half('tp', '2')} AS recall_triple, {half('2 * tp', '(pred + 2)')} AS f1_triple, {arp(half('rtp', 'rpred'))} AS precision_rule, {arp(half('rtp', '2'))} AS recall_rule, {arp(half('2 * rtp', '(rpred + 2)'))} AS f1_rule FROM orders JOIN c ON o_orderkey % 7 = kind"
+    return f"WITH c(kind, tp, pred, rtp, rpred) AS (VALUES {kinds}), r AS ({rows}) SELECT 'm' || m AS model, CASE WHEN m = 0 THEN 'NRP-full' ELSE 'ARP-full' END AS prompting_condition, 'rk' AS dataset_variant, 'rdfs2_7' AS pattern_id, count(*) AS n_total, CAST(sum(ok::INT) AS BIGINT) AS n_correct, CAST((2 * sum(ok::INT)::HUGEINT * {_P12} + count(*)) // (2 * count(*)) AS BIGINT) AS accuracy, {', '.join(f'{_mean_sql(c)} AS {c}' for c in reports.METRICS)}, CAST(2 AS BIGINT) AS n_rule FROM r GROUP BY m"
+
+
+@query("a5_streamed_aggregate", _streamed_sql())
+def streamed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all orders as response files that arrive in three deliveries, some first with other answers and again later; the cells that the stream leaves."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    condition = "CASE WHEN k % 3 = 0 THEN 'NRP-full' ELSE 'ARP-full' END"
+    key = f"concat({condition}, '__rk__rdfs2_7__n9__b-0123456', k % 4)"
+    rows = stored(_answers(spark, sf_dir).selectExpr("*", f"{condition} AS prompting_condition", f"{key} AS task_key", f"concat('response__m', k % 3, '__', {key}) AS name", "concat('request-', k) AS task_id", "k % 4 AS delivery"))
+    tasks = rows.selectExpr("task_key", "prompting_condition", "'rk' AS dataset_variant", "'rdfs2_7' AS pattern_id", "rules", "CAST(k AS INT) AS pos", "task_id", "premise_knowledge", "expected_output")
+    for n, (part, output) in enumerate(((rows.where("delivery < 2"), "CASE WHEN delivery = 0 THEN 'none' ELSE model_output END"), (rows.where("delivery = 2"), "model_output"), (rows.where("delivery IN (0, 3)"), "model_output"))):
+        lines = part.selectExpr("name", "k AS order", f"to_json(named_struct('id', task_id, 'response', {output})) AS value")
+        sinks.write(lines, f"{at}/responses/{n}", extension=".jsonl")
+        ingest.score_available(spark, f"{at}/responses", tasks, f"{at}/store", f"{at}/checkpoint")
+    return ingest.cells(spark, f"{at}/store")
+
+
 @query("a12_tokens", "SELECT 'f' || (p_partkey % 3) AS file, count(*) AS n_tasks, CAST(sum(greatest(1, (28 + 1 + length(p_name)) // 4)) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN greatest(1, (length(p_type) + 1 + 26) // 4) ELSE 0 END) AS BIGINT) AS output_tokens FROM part GROUP BY ALL")
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the parts in three files of one cell each; every second one has a task."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +50,43 @@ def lines(rows: DataFrame, name: Column, value: Column, order: str | None = None
     return rows.select(name.alias("name"), (F.col(order) if order else F.lit(0)).alias("order"), value.alias("value"))
 
 
-def write(files: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Text of files(name, value[, order]) under path/name=<name>: a folder for each file, its lines in order. Names that are there already are left alone unless overwrite."""
+def write(files: DataFrame, path: str, overwrite: bool = False, extension: str = "") -> None:
+    """The text of files(name, value[, order]) as one file path/<name><extension> for each name, its lines in order.
+
+    Files are written aside and moved to their names when all are there, so a failed task leaves nothing. Names that are there
+    already are left alone, or with overwrite replaced one by one; other files are never touched. A name's lines are one
+    task's; a name must not be empty or hold a slash or colon.
+    """
     spark = files.sparkSession
-    if not overwrite and _exists(spark, path):
-        there = spark.read.text(path).select("name").distinct() if "name" in spark.read.text(path).columns else None
-        files = files if there is None else files.join(there, "name", "left_anti")
+    fs, at = _file_system(spark, path)
+    if not overwrite and fs.exists(at):
+        there = [s.getPath().getName().removesuffix(extension) for s in fs.listStatus(at) if s.getPath().getName().endswith(extension)]
+        files = files.join(spark.createDataFrame([(n,) for n in there], "name string"), "name", "left_anti")
+    named = F.when(F.col("name").rlike("[/:]|^$"), F.raise_error(F.concat(F.lit("no name of a file: "), F.col("name"))).cast("string")).otherwise(F.col("name"))
     keys = ["name", "order"] if "order" in files.columns else ["name"]
-    dealt = files.repartition("name").sortWithinPartitions(*keys).select("name", "value")
-    with_mode = dealt.write.partitionBy("name").mode("overwrite" if overwrite else "append")
-    with_mode.text(path)
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    try:
+        files.withColumn("name", named).repartition("name").sortWithinPartitions(*keys).select("name", "value").write.option("maxRecordsPerFile", 0).partitionBy("name").text(aside)
+        for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(aside)):
+            if not folder.isDirectory():
+                continue
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("name="))
+            (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            to = jvm.org.apache.hadoop.fs.Path(at, name + extension)
+            if fs.exists(to):
+                if not overwrite:
+                    continue
+                fs.delete(to, True)
+            if not fs.rename(part, to):
+                raise OSError(f"could not move {part} to {to}")
+    finally:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+
+
+def _file_system(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def unwritten(rows: DataFrame, there: DataFrame, key: list[str]) -> DataFrame:
