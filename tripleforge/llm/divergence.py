@@ -59,9 +59,10 @@ def counted(docs: DataFrame) -> DataFrame:
         held = 0
 
         def sums():
-            keys = [(g, t) for g, c in n_of.items() for t in (None, *c)]
-            cols = [[g[0] for g, _ in keys], [g[1] for g, _ in keys], [None if t is None else t.decode("utf-8", "replace") for _, t in keys], [0 if t is None else n_of[g][t] for g, t in keys], [0 if t is None else d_of[g][t] for g, t in keys]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
+            for (lang, source), n in n_of.items():
+                size, docs_with = len(n) + 1, d_of[lang, source]
+                cols = [pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size), pa.array([None, *n], pa.binary()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs_with.__getitem__, n)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
             n_of.clear()
             d_of.clear()
 
@@ -85,7 +86,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield from sums()
 
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return texts.select(F.col("text").cast("binary").alias("text"), "lang", "source").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return texts.select(F.col("text").cast("binary").alias("text"), "lang", "source").mapInArrow(run, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
 
 
 def _p(count, total):
