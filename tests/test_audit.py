@@ -123,6 +123,30 @@ def test_all_variants(spark):
     assert n == {"rk": 2, "ls": 1, "gs": 1, "gsc": 1, "ns": 4, "nsc": 4, "rva": 4}
 
 
+def test_closure_of_cycles(spark):
+    """Random graphs with cycles, pairs of one node with itself, repeated and null pairs against a search from every node."""
+    import random
+
+    draw = random.Random(3)
+    for n, m in ((12, 14), (30, 25), (6, 30)):
+        edges = [(draw.randrange(n), draw.randrange(n)) for _ in range(m)] + [(40, 40), (50, 51), (51, 52), (52, 50)]
+        after = {}
+        for s, o in edges:
+            after.setdefault(s, set()).add(o)
+        want = set()
+        for v in {x for e in edges for x in e}:
+            seen, open_ = {v}, [v]
+            while open_:
+                for o in after.get(open_.pop(), ()):
+                    if o not in seen:
+                        seen.add(o)
+                        open_.append(o)
+            want |= {(str(v), str(o)) for o in seen}
+        got = [tuple(r) for r in closure(spark.createDataFrame([*map(lambda e: (str(e[0]), str(e[1])), edges * 2), (None, "1"), ("1", None)], "s string, o string")).collect()]
+        assert sorted(got) == sorted(want)
+    assert closure(spark.createDataFrame([], "s string, o string")).count() == 0
+
+
 def test_closure_ends(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)], "s string, o string")
     assert closure(chain).count() == 21 * 22 // 2

@@ -130,7 +130,8 @@ def test_providers():
     with pytest.raises(ValueError):
         runners.api_key(own, {"KEY": " "})
     payload = {"choices": [{"message": {"content": "hi"}, "finish": None}], "usage": {"n": 1}}
-    assert runners.fields_of(payload, own["response_fields"] | {"none": "choices.1.x"}) == {"response": "hi", "why": None, "use": {"n": 1}}
+    with pytest.raises(ValueError, match="base_url .*; response_fields "):  # all that is amiss at once
+        runners.provider({"p": {"api_key_env": "KEY"}}, "p")
 
 
 def test_attempts():
@@ -175,6 +176,84 @@ def test_batches(spark):
     assert runners.uploaded(spark.createDataFrame([("batch__m__0", "x"), ("new", "y")], "key string, file string"), manifest).first().key == "new"
 
 
+def test_run_goes_on(spark, tmp_path):
+    """A run that breaks off in the middle: what was answered is in the log and is not sent again."""
+    rows = spark.createDataFrame([(str(i), "m", f"x{i}", None) for i in range(20)], "id string, model string, input string, system string").coalesce(1)
+    sent = tmp_path / "sent"
+
+    def client(breaks):
+        def send(r):
+            if breaks and r["id"] == "12":
+                raise SystemExit("killed")  # not an attempt that failed: the task ends
+            with open(sent, "a") as f:
+                f.write(r["id"] + "\n")
+            return ("" if breaks and r["id"] == "3" else "re " + r["input"]), {"a": [r["id"]]}
+
+        return lambda: send
+
+    log, paths = "file://" + str(tmp_path / "log"), {"response": "x", "first": "a.0"}
+    with pytest.raises(Exception, match="killed|SystemExit|exited"):
+        runners.resumed(rows, client(True), log, paths, tries=1, sleep=lambda s: None)
+    before = sent.read_text().split()
+    assert 0 < len(before) < 20
+    (tmp_path / "log" / "cut.jsonl").write_text('{"id": "19", "resp')
+    got = {r.id: r for r in runners.resumed(rows.union(rows), client(False), log, paths, tries=1).collect()}
+    assert len(got) == 20 and all(r.response == f"re x{i}" and json.loads(r.fields) == {"first": i} for i, r in got.items())
+    counts = {i: sent.read_text().split().count(i) for i in got}
+    assert {i for i, n in counts.items() if n > 1} == ({"3"} if "3" in before else set())
+    assert got["1"].n_sent == 1 and runners.resumed(rows, client(True), log, paths).count() == 20 and len(sent.read_text().split()) == sum(counts.values())
+
+
+def test_batch_events_and_downloads(spark, tmp_path):
+    kind = "batch_id string, at long, status string, output_file_id string, completed_at long"
+    events = spark.createDataFrame([("b1", 3, "in_progress", None, None), ("b1", 2, "completed", "f1", 60), ("b2", 1, "validating", None, None), ("b2", 4, "cancelling", None, None), ("b3", 1, "expired", None, None), ("b3", 9, "in_progress", None, None)], kind)
+    states = runners.folded(events.union(events.orderBy("at")))
+    assert {r.batch_id: r.status for r in states.collect()} == {"b1": "completed", "b2": "cancelling", "b3": "expired"}
+    manifest = spark.createDataFrame([("batch__m__1", "b1"), ("batch__m__2", "b2"), ("batch__m__3", "b3")], "key string, batch_id string")
+    got = runners.polled(manifest, states, spark.createDataFrame([], "out_name string"))
+    sinks.write(runners.downloaded(got, lambda: lambda f: (f"{f} {n}\r\n" for n in range(10_001))), str(tmp_path / "out"), extension=".jsonl")
+    (file,) = (tmp_path / "out").glob("*.jsonl")
+    assert file.name == "response__m__1__b1__19700101000100.jsonl" and file.read_text().splitlines() == [f"f1 {n}" for n in range(10_001)]
+
+    def broken():
+        def fetch(f):
+            yield "first"
+            raise OSError("cut off")
+
+        return fetch
+
+    with pytest.raises(Exception, match="cut off"):
+        sinks.write(runners.downloaded(got, broken), str(tmp_path / "none"), extension=".jsonl")
+    assert not list((tmp_path / "none").glob("*.jsonl"))
+
+
+def test_line_places_of_files_in_blocks(spark, tmp_path):
+    """Files of many blocks and all kinds of line ends give the places that reading them whole gives."""
+    import random
+
+    draw = random.Random(7)
+    for n in range(4):
+        (tmp_path / f"f{n}.jsonl").write_bytes("".join(draw.choice(["", "  ", "x" * draw.randrange(1, 200), "\u00e9" * draw.randrange(1, 40)]) + draw.choice(["\n", "\r\n"]) for _ in range(draw.choice([0, 3, 400]) if n else 400)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = relations.jsonl(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted((r.file.rsplit("/", 1)[1], r.pos, r.value) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(f.name, n, x.removesuffix("\n")) for f in tmp_path.glob("*.jsonl") for n, x in enumerate(f.open(encoding="utf-8")) if x.strip(" \n")]
+    assert got == sorted(want)
+
+
+def test_numbered(spark):
+    from tripleforge.operators.sampling import numbered
+
+    rows = spark.range(0, 3000, 1, 7).selectExpr("(id * 7919) % 3001 AS k", "id AS place_of")
+    got = numbered(rows, F.desc("k")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 3001)) and [r.k for r in got] == sorted((r.k for r in got), reverse=True)
+    assert numbered(rows.where("false"), "k").count() == 0
+
+
 def test_subproperty_chains(spark):
     wd = "http://www.wikidata.org/entity/"
     h = spark.createDataFrame([(0, wd + "P1", "one", wd + "P2", "two"), (1, wd + "P2", "two", wd + "P3", "three"), (2, wd + "P2", "two", wd + "P2", "two"), (3, wd + "P4", "", wd + "P2", "two"), (4, wd + "P5", "own", wd + "P3", "three")], "pos int, child string, child_label string, parent string, parent_label string")

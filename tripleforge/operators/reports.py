@@ -112,9 +112,9 @@ def status(tasks: DataFrame, responses: DataFrame) -> DataFrame:
 def budget(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens and cost by model and condition, with a total for each model (condition null); unknown models cost nothing."""
     rows = requests.join(F.broadcast(prices), "model", "left")  # a price for each model
-    sums = rows.groupBy("model", F.coalesce("input_per_1m", F.lit(0.0)).alias("pin"), F.coalesce("output_per_1m", F.lit(0.0)).alias("pout"), "prompting_condition").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    total = sums.groupBy("model", "pin", "pout").agg(*[F.sum(c).alias(c) for c in ("n", "input_tokens", "output_tokens")]).withColumn("prompting_condition", F.lit(None).cast("string"))
-    both = sums.unionByName(total)
+    priced = rows.withColumns({"pin": F.coalesce("input_per_1m", F.lit(0.0)), "pout": F.coalesce("output_per_1m", F.lit(0.0))})
+    model = ["model", "pin", "pout"]
+    both = priced.groupingSets([[*model, "prompting_condition"], model], *model, "prompting_condition").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     cost = F.col("input_tokens") * F.col("pin") / 1e6 + F.col("output_tokens") * F.col("pout") / 1e6
     return both.select("model", "prompting_condition", "n", "input_tokens", "output_tokens", F.bround(cost, 6).alias("cost"))
 

@@ -74,8 +74,8 @@ def _letter(seed: int, slot: str, i: Column, alphabet: str) -> Column:
     return F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(F.lit(seed), F.lit(slot), F.col("id"), i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
-def nonsense(spark: SparkSession, pattern: str, n: int = 400, seed: int = 42, cased: bool = False) -> DataFrame:
-    """n rows of random tokens: eight letters or digits, or (cased) one to three words in the spelling of the slot's kind."""
+def nonsense(spark: SparkSession, pattern: str, n: int = 400, seed: int = 42, cased: bool = False, ids: DataFrame | None = None) -> DataFrame:
+    """n rows, or one for each of ids(id), of random tokens that seed and id fix: eight letters or digits, or (cased) one to three words in the spelling of the slot's kind."""
     p = PATTERNS[pattern]
 
     def token(slot: str) -> Column:
@@ -86,7 +86,7 @@ def nonsense(spark: SparkSession, pattern: str, n: int = 400, seed: int = 42, ca
         words = F.array_join(F.transform(F.sequence(F.lit(1), (1 + draw("w", F.lit(0)) % 3).cast("int")), word), " ")
         return as_kind(words, slot)
 
-    return _entries(spark.range(n), p, {s: token(s) for s in p.slots}, ["id"])
+    return _entries(spark.range(n) if ids is None else ids.select("id"), p, {s: token(s) for s in p.slots}, ["id"])
 
 
 def random_vocabulary(spark: SparkSession, pattern: str, vocabulary: dict[str, DataFrame], n: int = 400, seed: int = 42) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import audit, evaluate, prompts, reports, sampling, scoring, variants
+from ..operators import audit, evaluate, prompts, reports, runners, sampling, scoring, variants
 from ..sources import linked, sinks
 from ..streaming import ingest
 from ..sources.storage import shared_dir, stored
-from ..sources.relations import SCHEMA, subproperty_pairs, triple_view
+from ..sources.relations import SCHEMA, hierarchies, jsonl, subproperty_pairs, triple_view, values
 from .bgp import closure, concluded, entailed, match
 from .patterns import LINKED, PATTERNS, SC
 
@@ -94,12 +94,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Relations of `hierarchies`, which join those of the view.
+_MORE_SP = "SELECT 'orderedAs_' || c_custkey, 'orderedAs_' || c_custkey // 2 FROM customer WHERE c_custkey > 0 UNION ALL SELECT 'servedBy_' || s_suppkey, 'servedIn_' || s_nationkey FROM supplier UNION ALL SELECT 'servedIn_' || n_nationkey, 'servedWithin_' || n_regionkey FROM nation"
+_MORE_SC = "SELECT 'Item_' || p_partkey, p_brand FROM part UNION ALL SELECT DISTINCT p_brand, p_type FROM part UNION ALL SELECT 'Buyer_' || c_custkey, 'Buyer_' || c_custkey // 2 FROM customer WHERE c_custkey > 0 UNION ALL SELECT 'Buyer_' || c_custkey, 'Market_' || c_nationkey FROM customer UNION ALL SELECT 'Market_' || n_nationkey, 'Zone_' || n_regionkey FROM nation UNION ALL SELECT 'Zone_' || n_regionkey, 'Market_' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0"
+DEEP_VIEW = VIEW.replace("'rdfs:subPropertyOf')", f"'rdfs:subPropertyOf' UNION ALL {_MORE_SP})").replace("'rdfs:subClassOf')", f"'rdfs:subClassOf' UNION ALL {_MORE_SC})")
+
+
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triple_view(spark, sf_dir).unionAll(hierarchies(spark, sf_dir))
+
+
 def _entailed(pattern: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entailed(triple_view(spark, sf_dir), pattern, is_set=True).select("premise_knowledge", "expected_output")
+    triples = (_deep if pattern in ("rdfs5", "rdfs11") else triple_view)(spark, sf_dir)
+    return entailed(triples, pattern, is_set=True).select("premise_knowledge", "expected_output")
 
 
 for _n, _p in enumerate(PATTERNS, 1):
-    query(f"e{_n:02d}_{_p}", ENTAILMENT_SQL[_p])(partial(_entailed, _p))
+    query(f"e{_n:02d}_{_p}", DEEP_VIEW + ENTAILMENT_SQL[_p][len(VIEW) :] if _p in ("rdfs5", "rdfs11") else ENTAILMENT_SQL[_p])(partial(_entailed, _p))
 
 
 @query("e_concluded_rdfs3_9", f"{VIEW} SELECT DISTINCT f.b AS s, 'rdf:type' AS p, u.o FROM f JOIN ran USING (i) JOIN sc ON sc.x = ran.x, LATERAL (SELECT unnest([ran.x, sc.y]) AS o) u WHERE f.a <> f.b AND sc.x <> sc.y")
@@ -107,10 +118,9 @@ def concluded_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concluded(match(triple_view(spark, sf_dir), "rdfs3_9", True), PATTERNS["rdfs3_9"])
 
 
-@query("t1_subclass_closure", VIEW.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(s, o) AS (SELECT x, x FROM sc UNION SELECT y, y FROM sc UNION SELECT r.s, sc.y FROM r JOIN sc ON r.o = sc.x) SELECT s, o FROM r")
+@query("t1_subclass_closure", DEEP_VIEW.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(s, o) AS (SELECT x, x FROM sc UNION SELECT y, y FROM sc UNION SELECT r.s, sc.y FROM r JOIN sc ON r.o = sc.x) SELECT s, o FROM r")
 def subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = triple_view(spark, sf_dir).where(F.col("p") == SC).select("s", "o")
-    return closure(pairs)
+    return closure(_deep(spark, sf_dir).where(F.col("p") == SC))
 
 
 _WITH_X = f"{VIEW} SELECT premise_knowledge, expected_output FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY premise_knowledge) AS r, min(premise_knowledge) OVER (PARTITION BY x) AS g0 FROM (SELECT DISTINCT dom.x, {_list(_dx, _FACT)} AS premise_knowledge, {_T.format('f.a', 'dom.x')} AS expected_output FROM f JOIN dom USING (i) WHERE f.a <> f.b)) ORDER BY r, g0 LIMIT 400"
@@ -133,9 +143,9 @@ def local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs7", True), "rdfs7")
 
 
-@query("v2_local_shuffle_rdfs11", f"{VIEW} SELECT {_list(_C.format('sc.y', 'q.y'), _C.format('q.y', 'sc.x'))} AS premise_knowledge, {_C.format('sc.y', 'sc.x')} AS expected_output FROM sc JOIN sc q ON sc.y = q.x WHERE sc.x <> sc.y AND sc.y <> q.y AND sc.x <> q.y")
+@query("v2_local_shuffle_rdfs11", f"{DEEP_VIEW} SELECT {_list(_C.format('sc.y', 'q.y'), _C.format('q.y', 'sc.x'))} AS premise_knowledge, {_C.format('sc.y', 'sc.x')} AS expected_output FROM sc JOIN sc q ON sc.y = q.x WHERE sc.x <> sc.y AND sc.y <> q.y AND sc.x <> q.y")
 def local_shuffle_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.locally_shuffled(match(triple_view(spark, sf_dir), "rdfs11", True), "rdfs11")
+    return variants.locally_shuffled(match(_deep(spark, sf_dir), "rdfs11", True), "rdfs11")
 
 
 # --- variants of all patterns: slots by hand, new terms by hand, compared by counts and sums of hashes ---
@@ -226,17 +236,27 @@ def all_converted_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_patterns(partial(variants.globally_shuffled, converted=True), spark, sf_dir, ("rdfs5", "rdfs11"))
 
 
-@query("v5_nonsense_rdfs2_3_9", "SELECT CAST(400 AS BIGINT) AS n, CAST(400 AS BIGINT) AS n_with_five_triples")
+def _order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+
+
+@query("v5_nonsense_rdfs2_3_9", "SELECT count(*) AS n, count(*) AS n_with_five_triples, count(DISTINCT o_orderkey) AS n_different FROM orders")
 def nonsense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = variants.nonsense(spark, "rdfs2_3_9")
+    """An entry for each order: its tokens are eight letters or digits, and no two entries are alike."""
+    rows = variants.nonsense(spark, "rdfs2_3_9", ids=_order_ids(spark, sf_dir))
     token = "[a-zA-Z0-9]{8}"
     whole = f"^<{token}, rdfs:domain, {token}>, <{token}, rdfs:range, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, {token}, {token}>$"
-    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(whole).cast("long")).alias("n_with_five_triples"))
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(whole).cast("long")).alias("n_with_five_triples"), F.count_distinct("premise_knowledge").alias("n_different"))
 
 
-@query("v6_nonsense_cased_rdfs7", "SELECT CAST(400 AS BIGINT) AS n")
+@query("v6_nonsense_cased_rdfs7", "SELECT count(*) AS n, count(*) AS n_spelled, count(*) AS n_entailed FROM orders")
 def nonsense_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.nonsense(spark, "rdfs7", cased=True).agg(F.count("*").alias("n"))
+    """An entry for each order: names in the spelling of their kinds, and what follows is made of the premise's own names."""
+    rows = variants.nonsense(spark, "rdfs7", cased=True, ids=_order_ids(spark, sf_dir))
+    thing, link = "([A-Z][a-z]+(?:_[A-Z][a-z]+){0,2})", "([a-z]+(?:[A-Z][a-z]+){0,2})"
+    premise, part = f"^<{link}, rdfs:subPropertyOf, {link}>, <{thing}, {link}, {thing}>$", lambda n: F.regexp_extract("premise_knowledge", premise, n)
+    follows = (part(1) == part(4)) & (F.col("expected_output") == F.concat(F.lit("<"), F.concat_ws(", ", part(3), part(2), part(5)), F.lit(">")))
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(premise).cast("long")).alias("n_spelled"), F.sum(follows.cast("long")).alias("n_entailed"))
 
 
 @query("v7_random_vocabulary_rdfs9", "SELECT CAST(400 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_same")
@@ -611,7 +631,7 @@ _FILES = "CASE WHEN o_orderkey % 5 = 4 THEN 'no_task' WHEN o_orderkey % 5 = 3 TH
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Answers in five files by the order's number: of the third some ids have no task, the fourth has no task file."""
-    base = _answers(spark, sf_dir).where("k % 7 <> 6")
+    base = _answers(spark, sf_dir)
     tasks = base.where("k % 5 < 4").selectExpr("concat('t', k % 5) AS task_key", "'ARP-full' AS prompting_condition", "'rk' AS dataset_variant", "'rdfs2_7' AS pattern_id", "rules", "CAST(k AS INT) AS pos", "concat('request-', k) AS task_id", "premise_knowledge", "expected_output").where("task_key <> 't3' OR pos % 2 = 0")
     responses = base.selectExpr("concat('response__m__', k % 5) AS file", "CAST(k AS INT) AS pos", "concat('t', k % 5) AS task_key", "'m' AS model", "concat('request-', k) AS task_id", "model_output")
     rows, lost = evaluate.paired(responses, tasks)
@@ -619,12 +639,12 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return done, evaluate.outcome(done, lost)
 
 
-@query("a15_outcomes", f"SELECT status, CAST(count(DISTINCT o_orderkey % 5) AS BIGINT) AS n FROM (SELECT o_orderkey, {_FILES} AS status FROM orders WHERE o_orderkey % 7 <> 6) GROUP BY status UNION ALL SELECT 'skipped_exists', 0")
+@query("a15_outcomes", f"SELECT status, CAST(count(DISTINCT o_orderkey % 5) AS BIGINT) AS n FROM (SELECT o_orderkey, {_FILES} AS status FROM orders) GROUP BY status UNION ALL SELECT 'skipped_exists', 0")
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.outcomes(_evaluated(spark, sf_dir)[1], ["written", "skipped_exists", "no_task", "error"])
 
 
-@query("j5_evaluated_rows", f"SELECT 'request-' || o_orderkey AS task_id, o_orderkey % 7 IN (0, 4) AS triple_ok, false AS overall_ok FROM orders WHERE o_orderkey % 7 <> 6 AND {_FILES} = 'written'")
+@query("j5_evaluated_rows", f"SELECT 'request-' || o_orderkey AS task_id, o_orderkey % 7 IN (0, 4) AS triple_ok, false AS overall_ok FROM orders WHERE {_FILES} = 'written'")
 def evaluated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, status = _evaluated(spark, sf_dir)
     return evaluate.written(rows, status).select("task_id", "triple_ok", "overall_ok")
@@ -653,6 +673,42 @@ def streamed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.cells(spark, f"{at}/store")
 
 
+@query("s8_line_places", "SELECT 'f' || o_custkey % 5 AS file, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) * 2 - 2 AS pos, o_orderkey AS k FROM orders")
+def line_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of five files, each with a blank line behind it, and their places as read again."""
+    at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('f', o_custkey % 5) AS name", "o_orderkey AS order", "concat(to_json(named_struct('k', o_orderkey, 'status', o_orderstatus)), '\n') AS value")
+    sinks.write(rows, at, extension=".jsonl")
+    return jsonl(spark, at).select(F.regexp_extract("file", "(f[0-9])[.]jsonl$", 1).alias("file"), "pos", F.get_json_object("value", "$.k").cast("long").alias("k"))
+
+
+@query("l1_resumed_run", "SELECT 'request-' || p_partkey AS id, 're ' || p_name AS response, '{\"n\":' || length(p_name) || '}' AS fields, CAST(CASE WHEN p_partkey % 3 < 2 AND p_partkey % 5 = 4 THEN 2 ELSE 1 END AS BIGINT) AS n_sent FROM part")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of two parts in three, of which a fifth fails, and then of all parts: what was answered is not sent again."""
+    log = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    requests = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('request-', p_partkey) AS id", "'m' AS model", "p_name AS input", "CAST(NULL AS STRING) AS system", "p_partkey")
+
+    def stand_in(fails: bool):
+        def client():
+            return lambda r: (None if fails and int(r["id"].split("-")[1]) % 5 == 4 else "re " + r["input"], {"size": {"n": len(r["input"])}})
+
+        return client
+
+    paths = {"response": "text", "n": "size.n"}
+    runners.resumed(requests.where("p_partkey % 3 < 2"), stand_in(True), log, paths, tries=1, every=256)
+    return runners.resumed(requests, stand_in(False), log, paths, tries=1, every=256).select("id", "response", "fields", "n_sent")
+
+
+@query("l4_batch_states", "WITH e AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'finalizing' ELSE 'in_progress' END AS status FROM orders), s AS (SELECT o_custkey, arg_max(status, (status = 'completed')::INT * 1000000000000000 + o_orderkey) AS status, arg_max(o_orderkey, (status = 'completed')::INT * 1000000000000000 + o_orderkey) AS k FROM e GROUP BY 1) SELECT 'b' || o_custkey AS batch_id, CASE WHEN status = 'completed' THEN 'completed' ELSE 'pending' END AS outcome, CASE WHEN status = 'completed' THEN 'response__' || o_custkey || '__b' || o_custkey || '__' || strftime(make_timestamp(k * 1000000), '%Y%m%d%H%M%S') END AS saved_as FROM s")
+def batch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch for each customer, polled at each order: its state by the log of events, which comes twice."""
+    events = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey", "concat('b', o_custkey) AS batch_id", "o_orderkey AS at", "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'finalizing' ELSE 'in_progress' END AS status", "concat('out-', o_orderkey) AS output_file_id", "CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS completed_at")
+    manifest = events.selectExpr("concat('batch__', o_custkey) AS key", "batch_id").distinct()
+    there = values(spark, [("response__none",)], "out_name")
+    got = runners.polled(manifest, runners.folded(events.unionAll(events)), there)
+    return got.select("batch_id", "outcome", F.when(F.col("outcome") == "completed", F.col("out_name")).alias("saved_as"))
+
+
 @query("a12_tokens", "SELECT 'f' || (p_partkey % 3) AS file, count(*) AS n_tasks, CAST(sum(greatest(1, (28 + 1 + length(p_name)) // 4)) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN greatest(1, (length(p_type) + 1 + 26) // 4) ELSE 0 END) AS BIGINT) AS output_tokens FROM part GROUP BY ALL")
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the parts in three files of one cell each; every second one has a task."""
@@ -671,10 +727,10 @@ def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{raw} AS raw").select("event_id", terms.response_fields(F.col("raw"), {"n": "a.0.b", "none": "c.d"}).alias("fields"))
 
 
-@query("o6_rule_order", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'rdfs9' WHEN 1 THEN 'rdfs11' WHEN 2 THEN 'rdfs2_3' ELSE 'rdfs2_11' END AS pattern_id, row_number() OVER (ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders WHERE o_orderkey < 400")
+@query("o6_rule_order", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'rdfs9' WHEN 1 THEN 'rdfs11' WHEN 2 THEN 'rdfs2_3' ELSE 'rdfs2_11' END AS pattern_id, row_number() OVER (ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders")
 def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 400").selectExpr("o_orderkey AS k", "element_at(array('rdfs9', 'rdfs11', 'rdfs2_3', 'rdfs2_11'), CAST(o_orderkey % 4 + 1 AS INT)) AS pattern_id")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(terms.rule_order(F.col("pattern_id")), "k")).cast("long"))  # 400 rows at most
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "element_at(array('rdfs9', 'rdfs11', 'rdfs2_3', 'rdfs2_11'), CAST(o_orderkey % 4 + 1 AS INT)) AS pattern_id")
+    return sampling.numbered(rows, terms.rule_order(F.col("pattern_id")), "k")
 
 
 @query("k6_canonical", f"WITH {_rows_sql()}, c AS (SELECT model, pattern_id, printf('%d.%012d', f1_triple // {_P12}, f1_triple % {_P12}) AS t FROM scores) SELECT model, pattern_id, count(*) AS n, min(regexp_replace(t, '[.]?0+$', '')) AS least FROM c GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.patterns import DOM, RAN, SC, SP, TY
@@ -49,6 +49,34 @@ def triple_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, p, o) of class and property hierarchies that grow with the tables, as a set, to stand beside `triple_view`.
+
+    Classes: an item under its brand, a brand under the types that it comes in; a buyer under the one of half its number and
+    its market, a market under its zone, and a zone, in a cycle, under its markets of numbers that five divides. Properties:
+    a buyer's under the one of half its number, a supplier's under its nation's, that under its region's.
+    """
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    name = lambda kind, e: F.concat(F.lit(f"{kind}_"), F.expr(e).cast("string"))
+    pair = lambda d, s, p, o: d.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    later = t("customer").where("c_custkey > 0")
+    parts = [
+        pair(t("part"), name("Item", "p_partkey"), SC, F.col("p_brand")),
+        pair(t("part").select("p_brand", "p_type").distinct(), F.col("p_brand"), SC, F.col("p_type")),
+        pair(later, name("Buyer", "c_custkey"), SC, name("Buyer", "c_custkey div 2")),
+        pair(t("customer"), name("Buyer", "c_custkey"), SC, name("Market", "c_nationkey")),
+        pair(t("nation"), name("Market", "n_nationkey"), SC, name("Zone", "n_regionkey")),
+        pair(t("nation").where("n_nationkey % 5 = 0"), name("Zone", "n_regionkey"), SC, name("Market", "n_nationkey")),
+        pair(later, name("orderedAs", "c_custkey"), SP, name("orderedAs", "c_custkey div 2")),
+        pair(t("supplier"), name("servedBy", "s_suppkey"), SP, name("servedIn", "s_nationkey")),
+        pair(t("nation"), name("servedIn", "n_nationkey"), SP, name("servedWithin", "n_regionkey")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def bindings(df: DataFrame, fields: list[str], row_filter: Column | None = None) -> DataFrame:
     """SPARQL bindings (a map from variable to struct(value)) as columns; rows that lack a field are dropped."""
     out = df.select(*[F.col("binding")[f]["value"].alias(f) for f in fields]).dropna(subset=fields)
@@ -94,11 +122,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def jsonl(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """(file, pos, value) of the lines that are not blank, of all files under path; pos counts all lines of the file from 0, blank ones too.
 
-    A file is one row until its lines are numbered, since only it knows their order.
+    Files are read by blocks in as many tasks as their size asks for. A block's rows stand in order in one partition, so a
+    line's place is its row's less that of the block's first, plus the lines of the blocks before, which a window over
+    blocks, not lines, adds up. Both reads of the files cut them alike; files must not change meanwhile.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "value"))
-    return lines.where(F.trim("value") != "")
+    source = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(shift, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("pos"), "value").where(F.trim("value") != "")
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:

@@ -23,4 +23,13 @@ def stored(df: DataFrame) -> DataFrame:
     """df written and read back: its lineage ends here, and lost executors cost nothing."""
     at = f"{shared_dir(df.sparkSession)}/tripleforge-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more (on a classic session: it asks the JVM's file system)."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
