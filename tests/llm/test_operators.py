@@ -334,6 +334,66 @@ def test_license_headers_in_use():
     assert m.own("Released under the MIT License.\n" + " \n" * 30_000)[2]  # a licence file of any length
 
 
+def test_licence_cosines_by_brute_force(spark):
+    """Scores of all documents against dense vectors over the whole vocabulary, and licences against a walk up the path."""
+    import math
+    import re
+
+    term, m = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*"), licenses.Matcher()
+    base = [(n, t) for n, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
+    tags = [(n, f"SPDX-License-Identifier: {n}{e}") for n in sorted(licenses.TEMPLATES) for e in ("", "-only", "-or-later")]
+    bags = [term.findall(t.lower()) for _, t in base]
+    weight = lambda t: math.log((1 + len(base)) / (1 + sum(t in b for b in bags))) + 1
+
+    def dense(text, vocabulary):
+        words = term.findall(text.lower())
+        return np.array([words.count(t) * weight(t) for t in vocabulary])
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang", "text").where("text IS NOT NULL").collect()
+    spoken = [r.text for r in rows if re.search("(?i)licen[sc]e|spdx|permission is hereby", r.text)]
+    texts = spoken[:40] + [t for _, t in base] + ["// SPDX-License-Identifier: GPL-3.0-or-later", "see the licence", "SPDX-License-Identifier: MIT\nLicensed under the Apache License"]
+    for text in texts:
+        for part in [text, *text.split("\n")[:6]]:
+            words = sorted(set(term.findall(part.lower())))
+            score, name = m.best(part)
+            if not words:
+                assert score == 0
+                continue
+            cosines = []
+            for n, t in base + tags:
+                vocabulary = sorted(set(words) | set(term.findall(t.lower())))
+                x, y = dense(part, vocabulary), dense(t, vocabulary)
+                cosines.append((x @ y / np.linalg.norm(x) / np.linalg.norm(y), n))
+            top = max(c for c, _ in cosines)
+            assert abs(score - top) < 1e-9 and name in {n for c, n in cosines if c > top - 1e-9}
+
+    rng = np.random.default_rng(5)
+    notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "Licensed under the ISC License", "code", "", None]
+    files = []
+    for _ in range(300):
+        depth = int(rng.integers(0, 5))
+        folder = "/".join("abc"[int(rng.integers(0, 3))] for _ in range(depth))
+        name = ["LICENSE", "COPYING.txt", "x.py", "y.py", "z/"][int(rng.integers(0, 4))]
+        files.append((f"{folder}/{name}" if folder else name, notices[int(rng.integers(0, 6))]))
+    files += files[:40]
+    own = {(p, t): m.own(t) for p, t in files}
+    licensed = {}
+    for (p, _), (name, score, whole) in own.items():
+        if name and (whole or re.search(licenses.FILE_NAME, p)):
+            folder = p.rpartition("/")[0]
+            licensed[folder] = max(licensed.get(folder, (0.0, "")), (score, name))
+    want = []
+    for p, t in files:
+        name, folder, come = own[p, t][0], p, None
+        while not name and folder:
+            folder = folder.rpartition("/")[0]
+            if folder in licensed:
+                name, come = licensed[folder][1], folder
+        want.append((p, name, come))
+    got = [(r.path, r.license, r.license_dir) for r in licenses.inherited(spark.createDataFrame(files, "path string, text string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({w[2] for w in want}) > 5
+
+
 def test_line_links(spark, docs, empty):
     rng = np.random.default_rng(2)
     rows = []

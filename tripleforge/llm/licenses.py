@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-An SPDX tag decides by itself: its first identifier, without -only, -or-later and +, with score 1. Else a file's candidates
+A file's candidates
 are its lines that hold a cue word, the windows of up to WINDOWS lines around them (a wrapped notice) and the whole text, whatever its
 length. Each is a sparse vector of term counts weighted by the templates' inverse document frequencies; the best cosine to
-a template decides. A file that is a licence file (by name or by the whole text's cosine) licenses its directory; a file
+a template decides. The tag lines of the templates' identifiers, plain, -only and -or-later, are templates too, weighted by
+the others' frequencies, so an SPDX tag is scored like any notice; a tag whose first identifier no template has stands for
+it where no cosine is above that tag line's own, score 1. A file that is a licence file (by name or by the whole text's cosine) licenses its directory; a file
 without a licence of its own takes that of the nearest ancestor directory that has one. Directories, not files, are
 joined with their ancestors, so a directory with a third of all files costs one row for each level above it.
 
@@ -65,8 +67,11 @@ class Matcher:
         self.rare = math.log(1 + len(rows)) + 1  # of a term that no template has
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.names = [name for name, _ in rows]
+        tags = [(name, Counter(_TERM.findall(f"spdx-license-identifier: {name}{end}".lower()))) for name in sorted(templates) for end in ("", "-only", "-or-later")]
+        rows += tags  # they count in no document frequency
+        self.names += [name for name, _ in tags]
         for k, (_, c) in enumerate(rows):
-            w = {t: n * self.idf[t] for t, n in c.items()}
+            w = {t: n * self.idf.get(t, self.rare) for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
             for t, x in w.items():
                 self.index.setdefault(t, []).append((k, x / norm))
@@ -82,10 +87,10 @@ class Matcher:
         k = max(range(len(dots)), key=lambda i: (dots[i], -i))
         return (dots[k] / math.sqrt(norm), self.names[k]) if norm else (0.0, self.names[0])
 
-    def known(self, tag: str) -> str:
-        """The identifier as the templates spell it; one that no template has stays as it is."""
+    def strange(self, tag: str) -> str | None:
+        """A tag's identifier without -only, -or-later and +, if no template has it."""
         plain = re.sub(r"(?i)(-only|-or-later|\+)$", "", tag).rstrip(".-")
-        return next((n for n in self.names if n.lower() == plain.lower()), plain)
+        return None if any(n.lower() == plain.lower() for n in self.names) else plain
 
     def own(self, text: str | None) -> tuple[str | None, float, bool]:
         """Licence, cosine, and whether the whole text is one."""
@@ -104,10 +109,10 @@ class Matcher:
             found = max(found, self.best(b" ".join(lines[at:end]).decode("utf-8", "replace")), key=lambda x: x[0])
         whole = self.best(text)
         is_file = whole[0] >= FILE_LIMIT
-        tag = _SPDX.search(text)
-        if tag:
-            return self.known(tag[1]), 1.0, is_file
         found = max(found, whole, key=lambda x: x[0])
+        tag = _SPDX.search(text)
+        if tag and found[0] < 1 - 1e-9 and (name := self.strange(tag[1])):
+            return name, 1.0, is_file
         return (found[1], found[0], is_file) if found[0] >= LIMIT or is_file else (None, found[0], False)
 
 

@@ -34,9 +34,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a tree of files: source/lang/n/doc_id.txt with n = doc_id div 100; the document with doc_id = 100 n is its directory's LICENSE."""
+    """documents as a tree of files: source/lang/n/doc_id.txt with n = doc_id div 100. A text that speaks of a licence is a LICENSE-doc_id, every tenth one a directory higher."""
     docs = load(spark, sf_dir, "documents")
-    path = F.expr("concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id div 100 AS STRING), 'none'), CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE concat(coalesce(CAST(doc_id AS STRING), 'none'), '.txt') END)")
+    speaks = F.coalesce(F.col("text").rlike("(?i)licen[sc]e|permission is hereby|redistribution and use"), F.lit(False))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    folder = F.when(speaks & (F.col("doc_id") % 10 == 0), F.lit(None)).otherwise(F.coalesce(F.expr("CAST(doc_id div 100 AS STRING)"), F.lit("none")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, F.when(speaks, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat(name, F.lit(".txt"))))
     return licenses.inherited(docs.select("doc_id", path.alias("path"), "text"), "doc_id").withColumnRenamed("key", "doc_id")
 
 
