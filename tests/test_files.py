@@ -204,6 +204,41 @@ def test_run_goes_on(spark, tmp_path):
     assert got["1"].n_sent == 1 and runners.resumed(rows, client(True), log, paths).count() == 20 and len(sent.read_text().split()) == sum(counts.values())
 
 
+def test_live_source(spark):
+    """Ranges and pages give each binding once; a server that only breaks off is an error, not a shorter table."""
+    from tripleforge.sources.live import live_source
+
+    table = [{"s": {"value": f"k{i:03d}"}} | ({"o": {"value": str(i)}} if i % 3 else {}) for i in range(250)]
+
+    def client(breaks):
+        def made():
+            asks = {}
+
+            def ask(low, high, after):
+                n = asks[after] = asks.get(after, 0) + 1
+                rows = [r for r in table if (low is None or r["s"]["value"] >= low) and (high is None or r["s"]["value"] < high) and (after is None or r["s"]["value"] > after)]
+                if n == 1 and len(rows) % 2:
+                    raise OSError("down")
+                return {"rows": rows[: 20 if n > 2 else 3], "complete": n > 2 and not (breaks and after == "k119")}
+
+            return ask
+
+        return made
+
+    for name, breaks in (("live_whole", False), ("live_broken", True)):
+        spark.dataSource.register(live_source(name, "s string, o string", client(breaks), "s", tries=5, wait=0.0))
+    read = lambda name, **o: spark.read.format(name).options(**o).load()
+    whole = read("live_whole", bounds='["k100", "k101", "k200"]')
+    assert whole.rdd.getNumPartitions() == 4
+    assert sorted((r.s, r.o) for r in whole.collect()) == [(f"k{i:03d}", str(i) if i % 3 else None) for i in range(250)]
+    assert sorted(r.s for r in read("live_whole", **{"from": "k010", "until": "k013"}).collect()) == ["k010", "k011", "k012"]
+    assert read("live_whole", **{"from": "x"}).count() == 0
+    with pytest.raises(Exception, match="partial result"):
+        read("live_broken", bounds='["k100"]').collect()
+    with pytest.raises(Exception, match="not in order"):
+        read("live_whole", bounds='["k2", "k1"]').collect()
+
+
 def test_batch_events_and_downloads(spark, tmp_path):
     kind = "batch_id string, at long, status string, output_file_id string, completed_at long"
     events = spark.createDataFrame([("b1", 3, "in_progress", None, None), ("b1", 2, "completed", "f1", 60), ("b2", 1, "validating", None, None), ("b2", 4, "cancelling", None, None), ("b3", 1, "expired", None, None), ("b3", 9, "in_progress", None, None)], kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import audit, evaluate, prompts, reports, runners, sampling, scoring, variants
 from ..sources import linked, sinks
+from ..sources.live import live_source
 from ..streaming import ingest
 from ..sources.storage import shared_dir, stored
 from ..sources.relations import SCHEMA, hierarchies, jsonl, subproperty_pairs, triple_view, values
@@ -673,6 +675,46 @@ def streamed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.cells(spark, f"{at}/store")
 
 
+def _stand_in(at: str, size: int = 200):
+    """A client of the pages of a stored table (key, name), which breaks off or fails at the first ask of some of them."""
+
+    def client():
+        import re
+
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(re.sub("^file:/+", "/", at))
+        tables, tried = {}, set()
+
+        def ask(low, high, after):
+            if (low, high) not in tables:
+                key = ds.field("key")
+                tables[low, high] = ds.dataset(folder, filesystem=files, format="parquet").to_table(filter=(key >= (low or "")) & (key < (high or "\U0010ffff"))).sort_by("key").to_pylist()
+            rows = [r for r in tables[low, high] if after is None or r["key"] > after][:size]
+            first, ends = after not in tried, (after or "0")[-1]
+            tried.add(after)
+            if first and ends in "369":
+                raise TimeoutError("the server is gone")
+            whole = not (first and ends in "258")
+            return {"rows": [{"s": {"value": r["key"]}} | ({"name": {"value": r["name"]}} if r["name"] else {}) for r in (rows if whole else rows[: len(rows) // 2])], "complete": whole}
+
+        return ask
+
+    return client
+
+
+@query("s1_live_source", "SELECT 'http://dbpedia.org/resource/Customer_' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS s, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name FROM customer")
+def live_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by a data source over a stand-in for a server, in ranges of their keys, through partial pages and errors."""
+    at = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('http://dbpedia.org/resource/Customer_', lpad(CAST(c_custkey AS STRING), 12, '0')) AS key", "CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name")
+    rows.repartitionByRange(8, "key").write.parquet(at)
+    cuts = [r.key for r in spark.read.parquet(at).groupBy(F.expr("_metadata.file_path")).agg(F.min("key").alias("key")).orderBy("key").collect()][1:]  # 8 files
+    spark.dataSource.register(live_source("live_customers", "s string, name string", _stand_in(at), "s", wait=0.01))
+    return spark.read.format("live_customers").option("bounds", json.dumps(cuts)).load()
+
+
 @query("s8_line_places", "SELECT 'f' || o_custkey % 5 AS file, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) * 2 - 2 AS pos, o_orderkey AS k FROM orders")
 def line_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as lines of five files, each with a blank line behind it, and their places as read again."""
