@@ -695,6 +695,19 @@ def test_clashing_columns(spark, docs):
         assert got.columns == odd.columns and got.count() == stage(docs).count()
 
 
+def test_clashing_columns_and_many_rows_without_ids(spark, docs, empty):
+    """Signatures, mixing and packing are those of the plain table whatever other columns there are; rows without source or id count."""
+    more = docs.withColumns({c: F.lit("clash") for c in ("n", "head", "of", "th", "size", "bucket", "h", "part", "ids", "start", "target", "taken", "tail", "key")})
+    for f in (fingerprints.fingerprinted, mixing.mixed, packing.packed):
+        want = f(docs)
+        cols = [c for c in want.columns if c in ("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_next", "source_size", "length", "ids_crc32", "offset")]
+        assert sorted(map(repr, f(more).select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect())) and f(empty).count() == 0
+    none = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('word ', id) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source")
+    got = mixing.mixed(none).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.min("taken").alias("low"), F.max("taken").alias("high")).collect()
+    assert len(got) == 1 and got[0].source_size == 800 and got[0].low == got[0].high  # rows of one id, none included, go together
+    assert packing.packed(none).where("start = 0").count() == 400
+
+
 def test_quality_counts_lines_and_chunks():
     import zstandard
 

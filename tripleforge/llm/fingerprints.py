@@ -15,7 +15,8 @@ move once. `let` binds an intermediate value to a lambda variable, so that it is
 Defined results: a null text is empty; an empty text has an empty fingerprint; two empty fingerprints have likeness 1,
 one empty and one not 0. Rows with a null doc_id have no place in the order: no tail is added to them and near_next is
 0. Of repeated doc_ids the next document is the one whose text has the least XXH64; every row is returned. A single document is its own
-next one. An empty table gives an empty result. Extra columns are ignored.
+next one. An empty table gives an empty result. Extra columns are ignored. A very long text is one row, read whole; beyond
+2^28 symbols places are no longer told apart.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ others and every language with a training row is learned; of each language's doc
 the slope, the others the counts. Everything else is done for every row, on whole texts.
 
 Defined results: a null text or one without a letter gives "und" and score 0; no training row gives "und" for all;
-repeated rows are judged alike; ties go to the first language by code point; an empty table gives an empty result.
+repeated rows are judged alike; ties go to the first language by code point; an empty table gives an empty result; extra
+columns are ignored; a very long text is scored whole, as one Python object of its task.
 """
 
 from __future__ import annotations

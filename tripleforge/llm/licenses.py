@@ -11,7 +11,8 @@ joined with their ancestors, so a directory with a third of all files costs one
 
 Defined results: a null or empty text has no licence of its own; a null path has no directory and inherits nothing; of
 equal cosines the first template by name wins, of several licence files in one directory the best cosine, then the
-last name; repeated rows are judged alike; an empty table gives an empty result. Texts are read whole.
+last name; repeated rows, or a directory of nothing else, are judged alike; an empty table gives an empty result; extra columns are
+ignored. Texts are read whole, however long.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ budget ends, and only that boundary bucket is divided again, `LEVELS` times of `
 larger budget's documents include a smaller one's.
 
 Defined results: a null text has size 0; sources are ordered by code point, null last and a source like any other; rows
-with one doc_id hash alike and go together; a null doc_id has a hash too; an empty table gives an empty result. The hash
+with one doc_id hash alike and go together; a null doc_id has a hash too, so such rows go together as well; an empty table gives an empty result; extra columns are
+kept; a text of any length is counted whole. The hash
 depends on doc_id alone, so reruns and other partitions agree.
 """
 

@@ -10,7 +10,8 @@ padded: rule_padding is what the part's windows would be padded by without the m
 Documents are dealt by a hash of doc_id (without one, of their ids) into parts whose number follows the count of rows, and each part is packed in
 the order of doc_id, so a lost executor's work comes out the same again; sequence ids are the part and a running number.
 Defined results: a null text is empty, and an empty text is the end id alone; a null doc_id is dealt and packed like
-any other; repeated rows are packed as often as they come; an empty table gives an empty result.
+any other; repeated rows are packed as often as they come; an empty table gives an empty result; extra columns are ignored. A very long
+text is encoded whole, in one task, and cut into whole windows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the 0.1 percentile of the ratio less 5 % and the 99.9 percentile plus 5 %, for e
 chunks. Shorter texts, which seldom have 50 words, and longer ones are not in that sample: their limits are set by hand.
 
 Defined results: a null text has no words (base_failed, not kept); an empty text alike; repeated rows are judged alike;
-an empty table gives an empty result; extra columns are ignored by `measured` and kept by `keep`.
+an empty table gives an empty result; extra columns are ignored by `measured` and kept by `keep`. A very long text is
+judged whole, as one Python object of its task.
 """
 
 from __future__ import annotations

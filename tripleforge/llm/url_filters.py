@@ -6,7 +6,7 @@ from the spread of the rates of its groups. A host is blocked where the posterio
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and the verdict "allow"; null
 labels are no labels; repeated pages are judged alike and count once for their host; of several labels of a page the
-worst holds; a null page_id has no label; an empty table gives an empty result; extra columns are ignored. Counts are
+worst holds; a null page_id has no label; an empty table gives an empty result; extra columns are ignored; a url of any length is read whole. Counts are
 aggregated by host and stored, so a hot host costs one row and every level is made from the level below. A host equal to
 its domain, or a domain equal to its suffix, is a group of one and keeps its parent's rate as prior.
 """
