@@ -70,8 +70,8 @@ def closure(pairs: DataFrame, doublings: int = 30) -> DataFrame:
 
     Semi-naive by doubling. Before step k, `known` holds the pairs less than 2^k apart by their shortest way and `far` those
     exactly 2^k apart. The step joins known to far, which gives all pairs less than 2^(k+1) apart, and far to itself, less
-    what is known by then. So nothing that was joined before is joined again, a tree's pairs come up once each, far falls
-    from step to step, and in a cycle, whose pairs come back by longer ways, it falls to nothing. New pairs are stored beside
+    what is known by then. So nothing that was joined before is joined again, a tree's pairs come up once each, and in a
+    cycle, whose pairs come back by longer ways, far falls to nothing. New pairs are stored beside
     the earlier ones, which are not written again. An error if pairs are left after as many doublings.
     """
     edges = pairs.select("s", "o").dropna()
