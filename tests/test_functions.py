@@ -90,3 +90,32 @@ def test_patterns():
     assert [p.id for p in chosen("rdfs9, rdfs9,rdfs2")] == ["rdfs9", "rdfs2"] and len(chosen("*")) == 19
     with pytest.raises(ValueError):
         chosen("rdfs1")
+
+
+def test_folds_every_character(spark):
+    """All assigned characters, alone and between others, against the rule over whole strings."""
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    random.seed(2)
+    words = chars + [f"a{c}́{d}" for c, d in zip(chars, random.sample(chars, len(chars)))] + ["", "plain", "각각한글"]
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    for r in df.select("s", terms.ascii_fold(F.col("s")).alias("f")).toLocalIterator():
+        assert r.f == "".join(c for c in unicodedata.normalize("NFKD", r.s) if not unicodedata.combining(c)), ascii(r.s)
+    assert one(spark, terms.ascii_fold(F.col("s")), s=None) is None
+
+
+def test_first_derangement(spark):
+    """Five to seven values of few kinds against all permutations in the order of their indexes."""
+    from itertools import permutations
+
+    random.seed(3)
+    for n in (5, 6, 7):
+        rows = [tuple(random.choice("abcd"[: random.randint(2, 4)]) for _ in range(n)) for _ in range(120)]
+        df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(n)))
+        for r in df.select(F.array(*df.columns).alias("v"), terms.deranged([F.col(c) for c in df.columns]).alias("d")).collect():
+            v = r.v
+            turned = next(([*v[k:], *v[:k]] for k in range(1, n) if all(x != y for x, y in zip(v, [*v[k:], *v[:k]]))), None)
+            first = next(([v[i] for i in p] for p in permutations(range(n)) if all(v[i] != x for i, x in zip(p, v))), None)
+            assert r.d == (turned or first), v

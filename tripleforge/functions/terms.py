@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from itertools import permutations
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PICO = 1_000_000_000_000
 #: Letters that stand for the rules where their names are hidden.
@@ -22,14 +21,35 @@ def local_name(uri: Column) -> Column:
     return F.when(uri != "", F.substring_index(uri, "/", -1))
 
 
-@F.pandas_udf(T.StringType())
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+@cache
+def _decomposed() -> tuple[str, str, str, str]:
+    """Of all characters but Hangul syllables, which jamo spell by arithmetic: those that fold to one or none and what they fold to, for `translate`; those that fold to several and what, one a line."""
+    one, gone, several = {}, [], {}
+    for code in range(128, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xAC00 + 11172:
+            continue
+        c = chr(code)
+        to = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+        if not to:
+            gone.append(c)
+        elif len(to) > 1:
+            several[c] = to
+        elif to != c:
+            one[c] = to
+    return "".join(one) + "".join(gone), "".join(one.values()), "".join(several), "\n".join(several.values())
 
 
 def ascii_fold(s: Column) -> Column:
-    """Accents off by NFKD; strings that are ASCII already do not leave the JVM's result."""
-    return F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(_folded(s))
+    """Accents off: compatibility decompositions (NFKD) without combining marks. Marks change places among themselves only, so characters fold one by one."""
+    few, few_to, many, many_to = map(F.lit, _decomposed())
+    jamo = lambda first, n: F.lit("".join(map(chr, range(first, first + n))))
+
+    def spelled(c: Column) -> Column:
+        i, at = F.ascii(c) - 0xAC00, F.instr(many, c)
+        syllable = F.concat(*[F.substring(jamo(first, n), k, F.lit(1)) for first, n, k in ((0x1100, 19, (i / 588).cast("int") + 1), (0x1161, 21, (i % 588 / 28).cast("int") + 1))], F.when(i % 28 > 0, F.substring(jamo(0x11A8, 27), i % 28, F.lit(1))).otherwise(""))
+        return F.when(F.ascii(c) < 128, c).when(i.between(0, 11171), syllable).when(at > 0, F.element_at(F.split(many_to, "\n"), F.greatest(at, F.lit(1)))).otherwise(c)
+
+    return F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(F.array_join(F.transform(F.split(F.call_function("translate", s, few, few_to), ""), spelled), ""))
 
 
 def split_words(s: Column, fold: bool = False) -> Column:
@@ -79,9 +99,8 @@ def deranged(values: list[Column]) -> Column:
     if n < 2:
         return F.lit(None).cast("array<string>")
     tries = [F.when(_all([values[i] != values[(i + k) % n] for i in range(n)]), F.array(*[values[(i + k) % n] for i in range(n)])) for k in range(1, n)]
-    turned = F.coalesce(*tries)
-    # up to four values a rotation exists if anything does; the search runs for all rows of a batch, so rows that are turned send null
-    return F.coalesce(turned, _any_derangement(F.when(turned.isNull(), F.array(*values)))) if n > 4 else turned
+    # up to four values a rotation exists if anything does
+    return F.coalesce(*tries, *([_any_derangement(F.array(*values), n)] if n > 4 else []))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -91,17 +110,18 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _any_derangement(rows: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None:
-            return None
-        v = list(v)
-        if max(v.count(x) for x in v) * 2 > len(v):  # a value in over half of the places can't leave them
-            return None
-        return next(([v[i] for i in p] for p in permutations(range(len(v))) if all(v[i] != x for i, x in zip(p, v))), None)
+def _any_derangement(v: Column, n: int) -> Column:
+    """Place by place the first index whose value differs and leaves a way to fill the places after it: there is one while no value has more uses left than places that are not its own."""
+    at = F.sequence(F.lit(0), F.lit(n - 1))
+    count = lambda keep: F.size(F.filter(at, keep))
+
+    def fits(used: Column, i: Column, j: Column) -> Column:
+        over = lambda x: count(lambda k: ~F.array_contains(used, k) & (k != j) & (v[k] == x)) + count(lambda k: (k > i) & (v[k] == x)) > n - 1 - i
+        return ~F.array_contains(used, j) & (v[j] != v[i]) & ~F.exists(v, over)
 
-    return rows.map(one)
+    step = lambda used, i: F.concat(used, F.slice(F.filter(at, lambda j: fits(used, i, j)), 1, 1))
+    order = F.aggregate(at, F.array().cast("array<int>"), step)
+    return F.when(~F.exists(v, lambda x: x.isNull()) & (F.size(order) == n), F.transform(order, lambda j: v[j]))
 
 
 # --- triples in text ---
