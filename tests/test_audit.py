@@ -106,12 +106,26 @@ def test_conditions(spark):
     assert one(spark, prompts.rule_key_column(F.lit("rdfs9_11_4"))) == ["rdfs9", "rdfs11"]
 
 
-def test_random_vocabulary(spark):
-    words = {k: spark.createDataFrame([(f"{k}{i}",) for i in range(3)], "name string") for k in ("instance", "class", "property")}
+def test_random_vocabulary(spark, monkeypatch):
+    """Slots that must differ do, all choices come up alike, and a vocabulary too large to send to all gives the same rows; nulls, empty and repeated names count as the docstring says."""
+    from collections import Counter
+
+    words = {k: spark.createDataFrame([(f"{k}{i}",) for i in range(4)] * 2 + [("",), (None,)], "name string") for k in ("instance", "class", "property")}
     rows = variants.random_vocabulary(spark, "rdfs2_3", words, 50).collect()
     assert len(rows) == 50 and all("<" in r.premise_knowledge for r in rows)
     with pytest.raises(ValueError):
-        variants.random_vocabulary(spark, "rdfs11", words | {"class": words["class"].limit(2)}, 5)
+        variants.random_vocabulary(spark, "rdfs11", words | {"class": words["class"].where("name < 'class2'")}, 5)
+    many = variants.random_vocabulary(spark, "rdfs11", words, 2400).collect()
+    seen = Counter(r.premise_knowledge for r in many)  # <x, sc, y>, <y, sc, z>: 4 * 3 * 2 choices
+    assert len(seen) == 24 and all(50 < n < 160 for n in seen.values())
+    twice = variants.random_vocabulary(spark, "rdfs11", words, ids=spark.createDataFrame([(7,), (7,), (9,)], "id long")).collect()
+    assert [r for r in twice if r.id == 7] == [next(r for r in many if r.id == 7)] * 2 and len(twice) == 3
+    assert variants.random_vocabulary(spark, "rdfs11", words, ids=spark.range(0)).count() == 0
+    monkeypatch.setattr(variants, "BROADCAST_BYTES", 0)
+    assert sorted(variants.random_vocabulary(spark, "rdfs2_3", words, 50).collect()) == sorted(rows)
+
+
+def test_label_metadata(spark):
     assert variants.label_metadata(spark.createDataFrame([(1,)], "i_label int"), "fold") == {"wikidata_label_conversion": "fold"} and variants.label_metadata(spark.range(1), "fold") == {}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import as_kind, deranged, local_name, property_name, property_of, slot_kind
-from ..plans.bgp import differ, rendered
+from ..plans.bgp import rendered
 from ..plans.patterns import LINKED, PATTERNS, Pattern
 
 ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -70,58 +70,85 @@ def globally_shuffled(rows: DataFrame, pattern: str, keep: list[str] = [], conve
     return _entries(moved, p, {s: as_kind(t, s) for s, t in new.items()} if converted else new, keep)
 
 
-def _letter(seed: int, slot: str, i: Column, alphabet: str) -> Column:
-    return F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(F.lit(seed), F.lit(slot), F.col("id"), i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+def _digest(seed: int, *parts: Column | str) -> Column:
+    """32 hex digits that the seed and the parts fix, and that any SQL engine finds again."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))
+
+
+def _number(digest: Column, at: Column | int, digits: int = 4) -> Column:
+    """The number that the digits from place `at` on spell."""
+    return F.conv(F.substring(digest, F.lit(at) if isinstance(at, int) else at, F.lit(digits)), 16, 10).cast("long")
+
+
+def _letters(digest: Column, start: int, n: Column, alphabet: str) -> Column:
+    """n letters, each by four digits of the digest."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.lit(alphabet), (_number(digest, start + 4 * i) % len(alphabet) + 1).cast("int"), F.lit(1))), "")
 
 
 def nonsense(spark: SparkSession, pattern: str, n: int = 400, seed: int = 42, cased: bool = False, ids: DataFrame | None = None) -> DataFrame:
-    """n rows, or one for each of ids(id), of random tokens that seed and id fix: eight letters or digits, or (cased) one to three words in the spelling of the slot's kind."""
+    """n rows, or one for each of ids(id), of random tokens that seed and id fix: eight letters or digits, or (cased) one to three words of three to six letters in the spelling of the slot's kind."""
     p = PATTERNS[pattern]
 
+    def word(slot: str, i: Column) -> Column:
+        drawn = _digest(seed, slot, F.col("id"), i)
+        return _letters(drawn, 5, (_number(drawn, 1) % 4 + 3).cast("int"), ALPHANUMERIC[:26])
+
     def token(slot: str) -> Column:
+        drawn = _digest(seed, slot, F.col("id"))
         if not cased:
-            return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: _letter(seed, slot, i, ALPHANUMERIC)), "")
-        draw = lambda k, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(slot + k), F.col("id"), i), F.lit(1 << 30))
-        word = lambda i: F.array_join(F.transform(F.sequence(F.lit(1), (3 + draw("n", i) % 4).cast("int")), lambda j: _letter(seed, slot, i * 100 + j, ALPHANUMERIC[:26])), "")
-        words = F.array_join(F.transform(F.sequence(F.lit(1), (1 + draw("w", F.lit(0)) % 3).cast("int")), word), " ")
-        return as_kind(words, slot)
+            return _letters(drawn, 1, F.lit(8), ALPHANUMERIC)
+        return as_kind(F.array_join(F.transform(F.sequence(F.lit(1), (_number(drawn, 1) % 3 + 1).cast("int")), lambda i: word(slot, i)), " "), slot)
 
     return _entries(spark.range(n) if ids is None else ids.select("id"), p, {s: token(s) for s in p.slots}, ["id"])
 
 
-def random_vocabulary(spark: SparkSession, pattern: str, vocabulary: dict[str, DataFrame], n: int = 400, seed: int = 42) -> DataFrame:
-    """n rows whose slots are drawn from vocabularies (kind -> DataFrame of name), with the pattern's slots kept apart.
+def numbered(names: DataFrame) -> tuple[DataFrame, int, int]:
+    """(name, at) with the different names numbered from 0 by the first two digits of their digest and their bytes; how many they are, and of how many bytes.
+
+    Each of the 256 ranges is numbered by itself from the sizes of those before, so no task holds a vocabulary.
+    """
+    words = names.select("name").where("name <> ''").distinct().withColumn("part", F.substring(F.md5(F.col("name").cast("binary")), 1, 2))
+    starts, size, bytes_ = {}, 0, 0
+    for r in sorted(words.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("name")).alias("bytes")).collect()):  # 256 rows
+        starts[r.part], size, bytes_ = size, size + r.n, bytes_ + r.bytes
+    if not size:
+        return words.select("name", F.lit(0).cast("long").alias("at")), 0, 0
+    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    return words.select("name", (start[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1).cast("long").alias("at")), size, bytes_
+
+
+def _places(seed: int, group: str, size: int) -> Column:
+    """A different place under `size` for each slot of the group, all choices alike: a slot draws among the places that are left, and steps over those taken before it."""
+    draws = F.array(*[_number(_digest(seed, s, F.col("id")), 1, 15) for s in group])
+    step = lambda taken, d: F.concat(taken, F.array(F.aggregate(F.array_sort(taken), F.pmod(d, F.lit(size) - F.size(taken)), lambda at, t: F.when(at >= t, at + 1).otherwise(at))))
+    return F.aggregate(draws, F.array().cast("array<bigint>"), step)
+
+
+#: Vocabularies of at most this many bytes and names go to all tasks. In larger ones a name's share of the draws is too small to make a hot key.
+BROADCAST_BYTES, BROADCAST_NAMES = 32 << 20, 1 << 20
+
+
+def random_vocabulary(spark: SparkSession, pattern: str, vocabulary: dict[str, DataFrame], n: int = 400, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """n rows, or one for each of ids(id), whose slots are drawn from vocabularies (kind -> DataFrame of name), with the pattern's slots kept apart.
 
-    Names are numbered range by range of their hash, so no task holds a vocabulary. Draws are made with a surplus that doubles
-    until n rows pass; a vocabulary too small for the slots that must differ is an error.
+    Seed, id and vocabularies fix the rows. Slots that must differ are drawn without putting back, so no row is refused and drawn again.
+    A null or empty name is none, and names count once; a vocabulary too small for the slots that must differ is an error. Rows of one id are alike.
     """
     p = PATTERNS[pattern]
-    numbered: dict[str, tuple[DataFrame, int]] = {}
+    kinds = {}
     for kind in dict.fromkeys(map(slot_kind, p.slots)):
-        words = vocabulary[kind].select("name").where("name <> ''").distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(64)))
-        sizes = {r.part: r["count"] for r in words.groupBy("part").count().collect()}  # 64 rows
-        starts, size = {}, 0
-        for part in sorted(sizes):
-            starts[part], size = size, size + sizes[part]
+        kinds[kind] = numbered(vocabulary[kind])
         need = max([sum(slot_kind(s) == kind for s in g) for g in p.drawn_distinct] + [1])
-        if size < need:
-            raise ValueError(f"{kind}: {size} names for {need} different slots")
-        start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-        numbered[kind] = words.select("name", (start[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1).alias("at")), size
-
-    def drawn(surplus: int) -> DataFrame:
-        rows = spark.range(surplus * n)
-        for s in p.slots:
-            words, size = numbered[slot_kind(s)]
-            rows = rows.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("id")), F.lit(size)).cast("int")).join(words.withColumnRenamed("name", s), "at").drop("at")
-        for c in differ(p.drawn_distinct):
-            rows = rows.where(c)
-        return rows
-
-    surplus = 4
-    while drawn(surplus).limit(n).count() < n:
-        surplus *= 2
-    return _entries(drawn(surplus).orderBy("id").limit(n), p, plain_terms(pattern), ["id"])
+        if kinds[kind][1] < need:
+            raise ValueError(f"{kind}: {kinds[kind][1]} names for {need} different slots")
+    groups = [*p.drawn_distinct, *(s for s in p.slots if not any(s in g for g in p.drawn_distinct))]
+    rows = (spark.range(n) if ids is None else ids.select("id")).select("id", *[_places(seed, g, kinds[slot_kind(g[0])][1]).alias(f"at_{g}") for g in groups])
+    rows = rows.select("id", *[F.col(f"at_{g}")[i].alias(f"at_{s}") for g in groups for i, s in enumerate(g)])
+    for s in p.slots:
+        words, size, bytes_ = kinds[slot_kind(s)]
+        words = words.select(F.col("name").alias(s), F.col("at").alias(f"at_{s}"))
+        rows = rows.join(F.broadcast(words) if bytes_ <= BROADCAST_BYTES and size <= BROADCAST_NAMES else words, f"at_{s}")
+    return _entries(rows, p, plain_terms(pattern), ["id"])
 
 
 def label_metadata(rows: DataFrame, conversion: str) -> dict[str, str]:

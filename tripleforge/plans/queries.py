@@ -242,32 +242,87 @@ def _order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
 
 
-@query("v5_nonsense_rdfs2_3_9", "SELECT count(*) AS n, count(*) AS n_with_five_triples, count(DISTINCT o_orderkey) AS n_different FROM orders")
+def _drawn_sql(pattern: str, cased: bool = False) -> str:
+    """Entries of random tokens for all orders, by the rule of digests."""
+    p = PATTERNS[pattern]
+    number = lambda h, at, digits=4: f"CAST('0x' || substr({h}, {at}, {digits}) AS BIGINT)"
+    letters = lambda h, start, n, k: f"list_aggregate(list_transform(range({n}), lambda l: substr('{variants.ALPHANUMERIC[:k]}', 1 + {number(h, f'{start} + 4 * l')} % {k}, 1)), 'string_agg', '')"
+
+    def token(s: str) -> str:
+        whole = f"md5('42|{s}|' || o_orderkey)"
+        if not cased:
+            return letters(whole, 1, 8, 62)
+        h = f"md5('42|{s}|' || o_orderkey || '|' || w)"
+        word = letters(h, 5, f"3 + {number(h, 1)} % 4", 26)
+        shown = f"upper({word}[1]) || {word}[2:]"
+        if s in "ijk":
+            shown = f"CASE WHEN w = 1 THEN {word} ELSE {shown} END"
+        return f"list_aggregate(list_transform(range(1, 2 + {number(whole, 1)} % 3), lambda w: {shown}), 'string_agg', '{'_' if s in 'ab' else ''}')"
+
+    return f"SELECT id, {_rendered_sql(p.premise)} AS premise_knowledge, {_rendered_sql(p.conclusion)} AS expected_output FROM (SELECT o_orderkey AS id, {', '.join(f'{token(s)} AS {s}' for s in p.slots)} FROM orders)"
+
+
+def _rendered_sql(triples: tuple[tuple[str, str, str], ...]) -> str:
+    return " || ', ' || ".join("'<' || " + " || ', ' || ".join(t if len(t) == 1 else f"'{t}'" for t in tr) + " || '>'" for tr in triples)
+
+
+@query("v5_nonsense_rdfs2_3_9", _drawn_sql("rdfs2_3_9"))
 def nonsense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry for each order: its tokens are eight letters or digits, and no two entries are alike."""
-    rows = variants.nonsense(spark, "rdfs2_3_9", ids=_order_ids(spark, sf_dir))
-    token = "[a-zA-Z0-9]{8}"
-    whole = f"^<{token}, rdfs:domain, {token}>, <{token}, rdfs:range, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, rdfs:subClassOf, {token}>, <{token}, {token}, {token}>$"
-    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(whole).cast("long")).alias("n_with_five_triples"), F.count_distinct("premise_knowledge").alias("n_different"))
+    """An entry for each order: its tokens are eight letters or digits."""
+    return variants.nonsense(spark, "rdfs2_3_9", ids=_order_ids(spark, sf_dir))
 
 
-@query("v6_nonsense_cased_rdfs7", "SELECT count(*) AS n, count(*) AS n_spelled, count(*) AS n_entailed FROM orders")
+@query("v6_nonsense_cased_rdfs7", _drawn_sql("rdfs7", True))
 def nonsense_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry for each order: names in the spelling of their kinds, and what follows is made of the premise's own names."""
-    rows = variants.nonsense(spark, "rdfs7", cased=True, ids=_order_ids(spark, sf_dir))
-    thing, link = "([A-Z][a-z]+(?:_[A-Z][a-z]+){0,2})", "([a-z]+(?:[A-Z][a-z]+){0,2})"
-    premise, part = f"^<{link}, rdfs:subPropertyOf, {link}>, <{thing}, {link}, {thing}>$", lambda n: F.regexp_extract("premise_knowledge", premise, n)
-    follows = (part(1) == part(4)) & (F.col("expected_output") == F.concat(F.lit("<"), F.concat_ws(", ", part(3), part(2), part(5)), F.lit(">")))
-    return rows.agg(F.count("*").alias("n"), F.sum(F.col("premise_knowledge").rlike(premise).cast("long")).alias("n_spelled"), F.sum(follows.cast("long")).alias("n_entailed"))
+    """An entry for each order: names in the spelling of their kinds."""
+    return variants.nonsense(spark, "rdfs7", cased=True, ids=_order_ids(spark, sf_dir))
 
 
-@query("v7_random_vocabulary_rdfs9", "SELECT CAST(400 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_same")
+#: Vocabularies made from the tables.
+_VOCABULARY = {"instance": ("customer", "c_name"), "class": ("part", "p_type"), "property": ("orders", "o_orderpriority")}
+
+
+def _vocabulary_sql(pattern: str) -> str:
+    """Entries of names drawn for all orders: groups of two by hand, of four by the places that are left."""
+    p = PATTERNS[pattern]
+    kind = {s: terms.slot_kind(s) for s in p.slots}
+    ctes = [f"{k} AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY substr(md5(name), 1, 2), name) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT {c} AS name FROM {t} WHERE {c} <> ''))" for k, (t, c) in _VOCABULARY.items()]
+    places, tail = [], ""
+    for g in [*p.drawn_distinct, *(s for s in p.slots if not any(s in g for g in p.drawn_distinct))]:
+        free = f"(SELECT any_value(size) FROM {kind[g[0]]})"
+        for i, s in enumerate(g):
+            step = f"CAST('0x' || substr(md5('42|{s}|' || id), 1, 15) AS BIGINT) % ({free} - {i})"
+            # the place among those left: the least x with x + 1 - (taken ones up to x) = place + 1
+            near = " ".join(f"WHEN {step} + {j} NOT IN ({', '.join(f'at_{t}' for t in g[:i])}) AND {j} = {' + '.join(f'(at_{t} <= {step} + {j})::INT' for t in g[:i])} THEN {step} + {j}" for j in range(i + 1)) if i else ""
+            places.append(f"p_{s} AS (SELECT *, {f'CASE {near} END' if i else step} AS at_{s} FROM {places[-1].split(' ')[0] if places else 'ids'})")
+    for s in p.slots:
+        tail += f" JOIN (SELECT name AS {s}, place AS n_{s} FROM {kind[s]}) ON at_{s} = n_{s}"
+    return f"WITH {', '.join(ctes)}, ids AS (SELECT o_orderkey AS id FROM orders), {', '.join(places)} SELECT id, {_rendered_sql(p.premise)} AS premise_knowledge, {_rendered_sql(p.conclusion)} AS expected_output FROM {places[-1].split(' ')[0]}{tail}"
+
+
+def _from_vocabulary(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    words = {k: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).alias("name")) for k, (t, c) in _VOCABULARY.items()}
+    return variants.random_vocabulary(spark, pattern, words, ids=_order_ids(spark, sf_dir))
+
+
+@query("v7_random_vocabulary_rdfs9", _vocabulary_sql("rdfs9"))
 def random_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n, c: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(F.col(c).alias("name"))
-    words = {"instance": t("customer", "c_name"), "class": t("part", "p_type"), "property": t("orders", "o_orderpriority")}
-    rows = variants.random_vocabulary(spark, "rdfs9", words)
-    same = F.regexp_extract("premise_knowledge", "^<(.*), rdfs:subClassOf, ", 1) == F.regexp_extract("premise_knowledge", "rdfs:subClassOf, ([^>]*)>", 1)
-    return rows.agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("n_same"))
+    """An entry for each order: one name and two classes that differ."""
+    return _from_vocabulary(spark, sf_dir, "rdfs9")
+
+
+@query("v7_random_vocabulary_rdfs2_3_9", _vocabulary_sql("rdfs2_3_9"))
+def random_vocabulary_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for each order: a property, two names that differ and four classes that do."""
+    return _from_vocabulary(spark, sf_dir, "rdfs2_3_9")
+
+
+@query("f2_folded_names", "SELECT p_partkey, p_name AS plain, p_name || 'fi' || p_partkey AS folded FROM part")
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all parts with accents, marks, a ligature and wide digits put on by column functions, and folded again."""
+    wide = F.translate(F.col("p_partkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    dressed = F.concat(F.regexp_replace(F.translate("p_name", "aeioucy", "áèîöūçÿ"), "n", "n\u0303"), F.lit("ﬁ"), wide)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("plain"), terms.ascii_fold(dressed).alias("folded"))
 
 
 _WORDS = "regexp_extract_all(p_name, '[A-Z]?[a-z]+|[0-9]+')"
