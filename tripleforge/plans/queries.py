@@ -539,7 +539,18 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best(by_dataset(spark, sf_dir), ["rk", "ns"])
 
 
-@query("a6_composites")
+def _composites_sql() -> str:
+    best = lambda metric, variant, shape, more="": f"max({metric}) FILTER (dataset_variant = '{variant}' AND form = '{shape}'{more})"
+    ratio = lambda n, d: f"CASE WHEN {d} > 0 THEN CASE WHEN {n} >= {d} THEN {10**18}::HUGEINT ELSE {n} * {10**18}::HUGEINT // {d} END END"
+    arp = " AND family = 'ARP'"
+    cells = {**{v: best("f1_triple", v, "full") for v in ("rk", "ns", "gs", "gsc", "nsc")}, **{f"{v}_rule": best("f1_rule", v, "full", arp) for v in ("rk", "ns")}, "ns_name": best("f1_triple", "ns", "name")}
+    metrics = {"RI": "rk * 1000000::HUGEINT", "SI": "ns * 1000000::HUGEINT", "RRS": "rk_rule * 1000000::HUGEINT", "SRS": "ns_rule * 1000000::HUGEINT", "VR": ratio("gsc", "nsc"), "TR": ratio("gs", "gsc"), "RDI": ratio("ns_name", "ns")}
+    each = ", ".join(f"CASE WHEN count({k}) > 0 THEN (2 * sum({k}) + count({k})) // (2 * count({k})) END AS {k}" for k in metrics)
+    last = ", ".join(f"CAST(CASE WHEN count({k}) = {n} THEN (2 * sum({k}) + {n}000000) // {2 * n}000000 END AS BIGINT) AS {k}" for k in metrics for n in [3 if k in ("RRS", "SRS") else 6])
+    return f"WITH {_rows_sql()}, cells AS (SELECT model, family, n_rule, pattern_id, {', '.join(f'{e} AS {k}' for k, e in cells.items())} FROM scores GROUP BY model, family, n_rule, pattern_id), v AS (SELECT model, family, n_rule, {', '.join(f'CAST({e} AS HUGEINT) AS {k}' for k, e in metrics.items())} FROM cells), combo AS (SELECT model, family, n_rule, {each} FROM v GROUP BY model, family, n_rule) SELECT model, {last} FROM combo GROUP BY model"
+
+
+@query("a6_composites", _composites_sql())
 def composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.composites(_scores(spark, sf_dir), "n_total")
 
@@ -647,6 +658,26 @@ def audit_local_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.judged(audit.answered(asks, _graph(triples), _no_identities(spark), ["source"]), ["source"])
 
 
+@query("c8_verdicts_by_identity", "SELECT o_orderkey AS source, 2 AS n_triples, 2 AS n_compatible, CASE WHEN verdict = 'present' THEN 1 ELSE 0 END AS n_found, verdict FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_custkey % 5 = 0 THEN 'identity_unresolved' WHEN o_orderkey % 4 = 0 THEN 'present' ELSE 'absent' END AS verdict FROM orders)")
+def verdicts_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of one graph under a property of another: the shuffled fact <customer, orderedBy, order> can be asked of entities only.
+
+    Each order has an entity, a customer one, two (of which the graph knows the second) or, every fifth, none; every eleventh order is an intermediate node, which has no identity.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    wd = lambda e: f"concat('{terms.WIKIDATA}', {e})"
+    order, customer = f"concat('{linked.RESOURCE}', 'Order', CASE WHEN o_orderkey % 11 = 0 THEN '__' ELSE '_' END, o_orderkey)", f"concat('{linked.RESOURCE}', 'Customer_', o_custkey)"
+    of_order, of_customer = wd("concat('Q', o_orderkey * 10 + 5)"), lambda n: wd(f"concat('Q', o_custkey * 10 + {n})")
+    rows = stored(orders.selectExpr("o_orderkey AS source", f"{order} AS a", f"{customer} AS b", f"{wd(repr('P1'))} AS i", f"'{audit.ONTOLOGY}placedBy' AS i_dbp", f"{wd(repr('P2'))} AS j", "'placed by' AS i_label", "'ordered by' AS j_label"))
+    with_one = orders.where("o_custkey % 5 > 0")
+    same = orders.selectExpr(f"{order} AS s", f"{of_order} AS o").unionByName(with_one.selectExpr(f"{customer} AS s", f"{of_customer(1)} AS o")).unionByName(with_one.where("o_custkey % 3 = 0").selectExpr(f"{customer} AS s", f"{of_customer(2)} AS o"))
+    graph = with_one.where("o_orderkey % 4 = 0").selectExpr(f"CASE WHEN o_custkey % 3 = 0 THEN {of_customer(2)} ELSE {of_customer(1)} END AS s", f"{wd(repr('P2'))} AS p", f"{of_order} AS o")
+    named = variants.source_terms("rdfs7")
+    changed = audit.induced(variants.locally_shuffled(rows, "rdfs7", ["source"], named), variants.real(rows, "rdfs7", ["source"], named), ["source"])
+    answers = audit.answered(audit.induced_asks(changed, rows, "rdfs7", ["source"]), graph, same, ["source"])
+    return audit.judged(answers, ["source"])
+
+
 @query("c9_verdicts_vocabulary", "SELECT CASE WHEN p_partkey % 5 = 4 THEN 'error' WHEN p_partkey % 5 < 2 THEN 'present' ELSE 'absent' END AS verdict, count(*) AS n FROM part GROUP BY ALL")
 def verdicts_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premises of rdfs9 from the parts: a true type, a true subclass, neither, or one triple too few."""
