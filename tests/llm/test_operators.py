@@ -519,10 +519,29 @@ def test_lm_probabilities_against_the_restaurants(spark):
         for (x, w), n in pairs.items():
             if x == u:
                 a = dict(zip(own[w].u, own[w].a))[i]
-                assert 0 <= a * (lm.STRENGTH + total[u]) <= n - 0.05 + 1e-3
+                assert 0 <= a * (min(model.strengths) + total[u]) <= n - 0.05 + 1e-3
     for r in lm.scored(table, share=14, head=2).collect():
         seq = [lm.END, *dict(rows)[r.doc_id].encode().split(), lm.END]
         assert abs(r.score - sum(np.log10(prob(u, w)) for u, w in zip(seq, seq[1:]))) < 1e-4
+        assert abs(r.known_score - sum(np.log10(prob(u, w)) for u, w in zip(seq, seq[1:]) if own[w].c)) < 1e-4
+
+
+def test_lm_strength():
+    """The strength against the seatings' probability written out as a product, and against the one that seated them."""
+    rng = np.random.default_rng(5)
+    d, theta = 0.4, 30.0
+    c, t = np.zeros(200), np.zeros(200)
+    for j in range(200):
+        c[j] = rng.integers(1, 300)
+        for i in range(int(c[j])):
+            t[j] += rng.random() < (theta + d * t[j]) / (theta + i)
+    got = lm.strength(c, t, d)
+
+    def likely(x):
+        return sum(np.log(x + d * np.arange(1, tj)).sum() - np.log(x + np.arange(1, cj)).sum() for cj, tj in zip(c, t))
+
+    assert likely(got) >= max(likely(got * f) for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2)) and theta * 0.85 < got < theta * 1.15
+    assert lm.strength(np.zeros(0), np.zeros(0), d) == lm.strength(np.ones(9), np.ones(9), d) == lm.STRENGTH
 
 
 def test_lm_tells_gibberish_from_prose(spark):
