@@ -170,7 +170,7 @@ def test_closure_ends(spark):
 
 def test_triples_and_rules_as_written(spark):
     """Names hold commas, ends hold any white space, an empty rule counts."""
-    got = one(spark, terms.strict_triples(F.lit("<country, rdfs:domain, Place>, <Paris,_Texas, country,  United_States\n>, <a,b,c>, <a, b>")))
+    got = one(spark, terms.strict_triples(F.lit("<country, rdfs:domain, Place>, <Paris,_Texas, country, \u00a0United_States\n>, <Paris,_Texas, country,\u00a0 United_States>, <a,b,c>, <a, b>")))
     assert [tuple(t) for t in got] == [("country", "rdfs:domain", "Place"), ("Paris,_Texas", "country", "United_States")]
     assert [tuple(t) for t in one(spark, terms.strict_triples(F.lit("<Paris,_Texas, country, \t United_States\x1c>")))] == [("Paris,_Texas", "country", "United_States")]
     rules = lambda t: one(spark, terms.used_rules(F.lit(t)))
